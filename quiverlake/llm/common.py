@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def to_bytes(text: str | None) -> bytes:
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that `column` holds about max_bytes in each; a longer row stands alone."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > max_bytes:
@@ -62,7 +63,7 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) ->
     """Joins small batches and cuts large ones, to about max_bytes of `column` each."""
     held, size = [], 0
     for batch in slices(batches, column, max_bytes):
-        n = (pa.compute.sum(pa.compute.binary_length(batch.column(column))).as_py() or 0) + batch.num_rows
+        n = (pc.sum(pc.binary_length(batch.column(column))).as_py() or 0) + batch.num_rows
         if held and size + n > max_bytes:
             yield pa.Table.from_batches(held)
             held, size = [], 0
