@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op10_benchmark_decontamination
 from .packing import op1_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing]
+    found = [op1_packing, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
