@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op10_benchmark_decontamination
 from .packing import op1_packing
+from .substrings import op3_suffix_array_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op10_benchmark_decontamination]
+    found = [op1_packing, op3_suffix_array_dedup, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
