@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op10_benchmark_decontamination
 from .language import op5_language_id
 from .packing import op1_packing
+from .simhash import op6_simhash_near_dedup
 from .substrings import op3_suffix_array_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op3_suffix_array_dedup, op5_language_id, op10_benchmark_decontamination]
+    found = [op1_packing, op3_suffix_array_dedup, op5_language_id, op6_simhash_near_dedup, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
