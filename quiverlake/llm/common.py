@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,6 +40,11 @@ def split_words(text: Column, separators: str) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), separators), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, also where the body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def to_bytes(text: str | None) -> bytes:
     """UTF-8 of a text; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
