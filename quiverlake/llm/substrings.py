@@ -1,9 +1,10 @@
 """Removal of repeated byte strings, found in suffix-array intervals of a Burrows-Wheeler transform.
 
 1. Anchors. The smallest hash among the short strings of a window is the same wherever the window
-   stands, so it tells which parts of the corpus can hold equal windows. Runs of windows of one anchor
-   form a string. A grouped minimum and maximum of doc_id finds the anchors of two documents or more;
-   the rest of the text, nearly all of it, has no repeats and goes no further.
+   stands, so it tells which parts of the corpus can hold equal windows. A grouped minimum and maximum
+   of doc_id finds the anchors of two documents or more, and then, among these, the anchors that also
+   have a longer neighbourhood in common. The rest of the text, nearly all of it, has no repeats and
+   goes no further. Windows of one anchor that stand together form a string.
 2. Intervals. Distinct strings, with the smallest doc_id of each, are dealt out by anchor. A task
    builds the transform of its strings and extends intervals backward, breadth first: the boundaries
    found in step v are the common prefixes of length v, so they come in increasing order, and after
@@ -30,7 +31,9 @@ from .common import Scratch, read_table, slices
 
 LAST = (1 << 63) - 1
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-ANCHOR, PIECE, LONGEST_RUN = 24, 4 << 20, 256
+ANCHOR = 24
+#: Windows are looked at in blocks of so many; a place in a block and its window fits 20 bits.
+BLOCK = 1 << 19
 
 
 def binary_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +46,12 @@ def binary_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h *= ODD[0]
+    return h ^ (h >> np.uint64(29))
+
+
 def anchor_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the 24 bytes that start at each place."""
     h = data.astype(np.uint64) + np.uint64(1)
@@ -50,11 +59,7 @@ def anchor_hashes(data: np.ndarray) -> np.ndarray:
     for k, odd in zip((1, 2, 4, 8), ODD, strict=False):
         h = h[:-k] * odd + h[k:]
         by[2 * k] = h
-    h = by[16][:-8] * ODD[4] + by[8][16:]
-    h ^= h >> np.uint64(31)
-    h *= ODD[0]
-    h ^= h >> np.uint64(29)
-    return h
+    return mixed(by[16][:-8] * ODD[4] + by[8][16:])
 
 
 def smallest_ahead(h: np.ndarray, width: int) -> np.ndarray:
@@ -66,77 +71,148 @@ def smallest_ahead(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - k)], h[width - k :]) if width > k else h
 
 
-def anchor_runs(data: np.ndarray, bounds: np.ndarray, min_len: int) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring windows with one anchor: anchor, document, first window's start, end of the starts."""
-    n = len(data) - min_len + 1
-    if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    low = smallest_ahead(anchor_hashes(data), min_len - ANCHOR + 1)
-    inside = np.ones(n, bool)
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        inside[max(a, b - min_len + 1) : b] = False
-    cuts = np.flatnonzero((low[1:] != low[:-1]) | (inside[1:] != inside[:-1])) + 1
-    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [n]])
-    starts, ends = starts[keep := inside[starts]], ends[keep]
-    if len(starts) and (ends - starts).max() > LONGEST_RUN:
-        parts = -(-(ends - starts) // LONGEST_RUN)
-        which = np.repeat(np.arange(len(starts)), parts)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts, ends = starts[which] + nth * LONGEST_RUN, np.minimum(ends[which], starts[which] + (nth + 1) * LONGEST_RUN)
-    doc = np.searchsorted(bounds, starts, "right") - 1
-    return low[starts].view(np.int64), doc, starts - bounds[doc], ends - bounds[doc]
-
-
-def batch_runs(texts: pa.Array, min_len: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """anchor_runs of a column; very long texts in pieces that overlap by a window less a byte."""
+class Runs:
+    """Runs of neighbouring windows that have their anchor in one place: all in one block of a column.
+
+    key is the anchor's hash, doc the row; start and end bound the windows' first bytes in the text.
+    before and after hash the anchor with its neighbourhood, as far as all windows reach that stand
+    left of `turn` (before) or from it on (after).
+    """
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, last: int, min_len: int):
+        base, data = first, data[first : last + min_len - 1]
+        spare = min_len - ANCHOR
+        h = anchor_hashes(data)
+        place = np.uint64((1 << 20) - 1)
+        at = (smallest_ahead((h & ~place) | np.arange(len(h), dtype=np.uint64), spare + 1) & place).astype(np.int64)
+        inside = np.ones(len(at), bool)
+        k = int(np.searchsorted(bounds, first, "right"))
+        for b in bounds[k : int(np.searchsorted(bounds, last + min_len, "right")) + 1].tolist():
+            inside[max(0, b - min_len + 1 - first) : max(0, b - first)] = False
+        cuts = np.flatnonzero((at[1:] != at[:-1]) | (inside[1:] != inside[:-1])) + 1
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]])
+        keep = inside[starts]
+        starts, ends = starts[keep], ends[keep]
+        at = at[starts]
+        self.key = h[at].view(np.int64)
+        self.doc = np.searchsorted(bounds, starts + base, "right") - 1
+        # a window that starts before `turn` has this many bytes before its anchor, any other so many after it
+        half = (spare + 1) // 2
+        turn = np.clip(at - half + 1, starts, ends)
+        self.has_before, self.has_after = turn > starts, turn < ends
+        left, right = np.maximum(at - half, 0), np.minimum(at + spare - half + 1, len(h) - 1)
+        self.before = mixed(h[left] * ODD[2] + h[at]).view(np.int64)
+        self.after = mixed(h[at] * ODD[3] + h[right]).view(np.int64)
+        shift = base - bounds[self.doc]
+        self.start, self.turn, self.end = starts + shift, turn + shift, ends + shift
+
+
+def batch_runs(texts: pa.Array, min_len: int) -> Iterator[Runs]:
+    """Runs of a column, block by block; blocks may cut a long text, and then a run."""
     data, bounds = binary_view(texts)
-    long = np.flatnonzero(np.diff(bounds) > PIECE)
-    at = 0
-    for k in [*long.tolist(), len(bounds) - 1]:
-        if k > at:
-            anchor, doc, start, end = anchor_runs(data[bounds[at] : bounds[k]], bounds[at : k + 1] - bounds[at], min_len)
-            yield anchor, doc + at, start, end
-        if k < len(bounds) - 1:
-            for p in range(0, int(bounds[k + 1] - bounds[k]) - min_len + 1, PIECE):
-                part = data[bounds[k] + p : min(bounds[k] + p + PIECE + min_len - 1, bounds[k + 1])]
-                anchor, doc, start, end = anchor_runs(part, np.array([0, len(part)]), min_len)
-                yield anchor, doc + k, start + p, end + p
-        at = k + 1
-
-
-def suffix_order(symbols: np.ndarray, longest: int) -> np.ndarray:
-    """Places of all suffixes in order, by doubling the compared length; symbols that end strings are unique."""
-    rank, n, step = symbols, len(symbols), 1
+    for first in range(0, len(data) - min_len + 1, BLOCK):
+        runs = Runs(data, bounds, first, min(first + BLOCK, len(data) - min_len + 1), min_len)
+        if len(runs.key):
+            yield runs
+
+
+class Filter:
+    """A bit for each value of the leading bits of keys; says no only if no key has them.
+
+    Its size grows with the number of keys up to 64 MB and stays there. It only spares rows the join
+    that follows, which is exact.
+    """
+
+    MOST = 29
+
+    def __init__(self, bits: int, data: np.ndarray):
+        self.bits, self.data = bits, data
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    @classmethod
+    def of(cls, keys: DataFrame, column: str, count: int) -> Filter:
+        bits = min(cls.MOST, max(16, count.bit_length() + 4))
+        parts = 1 << 8
+
+        def fill(table: pa.Table) -> pa.Table:
+            u = table.column("k").to_numpy().view(np.uint64)
+            within = (u >> np.uint64(64 - bits)).astype(np.int64) & ((1 << bits - 8) - 1)
+            flags = np.zeros(1 << bits - 8, np.uint8)
+            flags[within] = 1
+            return pa.table({"part": pa.array([int(u[0] >> np.uint64(56))], pa.int32()), "data": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+        k = F.col(column)
+        rows = keys.select(k.alias("k"), F.shiftrightunsigned(k, 56).cast("int").alias("part")).groupBy("part").applyInArrow(fill, "part int, data binary")
+        data = np.zeros((parts, 1 << bits - 11), np.uint8)
+        for r in rows.toLocalIterator():
+            data[r["part"]] = np.frombuffer(r["data"], np.uint8)
+        return cls(bits, data.reshape(-1))
+
+
+def suffix_order(letters: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order, and each one's rank. Strings end at `ends`, each in a symbol of its own
+    that is smaller than any letter and than those of later strings.
+
+    The first sort compares seven symbols. Later ones double the length, and only sort what still ties.
+    """
+    n = len(letters)
+    symbols = letters.astype(np.int64) + 1
+    symbols[ends] = 0
+    key, alive, done = symbols.copy(), symbols > 0, ~(symbols > 0)
+    for d in range(1, 7):
+        key <<= 9
+        key[: n - d] += np.where(alive[: n - d], symbols[d:], 0)
+        alive[: n - d] &= symbols[d:] > 0
+        alive[n - d :] = False
+    done = ~alive
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    begins = np.ones(n, bool)  # where a group of ties begins; a suffix that has ended ties with none
+    begins[1:] = (sorted_[1:] != sorted_[:-1]) | done[order[1:]] | done[order[:-1]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+    step = 7
     while True:
-        second = np.zeros(n, np.int64)
-        second[:-step] = rank[step:] + 1
-        key = rank * np.int64(max(n, int(rank.max()) + 1) + 1) + second
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.zeros(n, np.int64)
-        new[1:] = np.cumsum(key[1:] != key[:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+        tied = ~begins
+        tied[:-1] |= ~begins[1:]
+        slots = np.flatnonzero(tied)
+        if not len(slots):
+            return order, rank
+        places = order[slots]
+        key = rank[places] * np.int64(n) + rank[places + step]
+        o = np.argsort(key, kind="stable")
+        key, places = key[o], places[o]
+        order[slots] = places
+        new = np.ones(len(slots), bool)
+        new[1:] = key[1:] != key[:-1]
+        begins[slots] = new
+        rank[places] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
         step *= 2
-        if step > longest + 1 or new[-1] == n - 1:
-            return order
 
 
-def prefix_intervals(symbols: np.ndarray, order: np.ndarray, min_len: int) -> np.ndarray:
-    """Marks, in suffix order, where an interval of suffixes that share min_len symbols begins.
+def prefix_intervals(letters: np.ndarray, ends: np.ndarray, order: np.ndarray, rank: np.ndarray, min_len: int) -> np.ndarray:
+    """Marks, in suffix order, where an interval of suffixes that share min_len letters or more begins.
 
-    Works on the Burrows-Wheeler transform alone. At first the intervals are those of one symbol. Each
-    step extends all intervals backward by every symbol: two neighbours in the extended order stay
-    together if the suffixes they extend lie in one interval. A boundary found in step v is a longest
-    common prefix of v; there it ends, as no later step can find a smaller one.
+    Works on the Burrows-Wheeler transform. At first the intervals are those of one symbol. Each step
+    extends all intervals backward by every symbol: two neighbours in the extended order stay together
+    if the suffixes they extend lie in one interval. A boundary found in step v is a longest common
+    prefix of v; there it ends, as no later step can find a smaller one.
     """
-    transform = symbols[order - 1]
-    extends = np.argsort(transform, kind="stable")  # the suffix, by its place, that the k-th one extends
-    first = symbols[order]
-    bound = np.ones(len(order), bool)
-    bound[1:] = first[1:] != first[:-1]
+    n, strings = len(letters), len(ends)
+    ended = np.zeros(n, bool)
+    ended[ends] = True
+    transform, closes = letters[order - 1], ended[order - 1]
+    rows = np.flatnonzero(~closes)
+    # the suffix that each one extends: symbols that end strings come first, then the letters in order
+    extends = np.concatenate([rank[(ends + 1) % n], rows[np.argsort(transform[rows], kind="stable")]])
+    first = letters[order]
+    bound = np.ones(n, bool)
+    bound[strings + 1 :] = first[strings + 1 :] != first[strings:-1]
     open_ = np.flatnonzero(~bound)
-    above, below = extends[open_ - 1], extends[open_]
+    above, below = extends[open_ - 1].astype(np.int32), extends[open_].astype(np.int32)
     for _ in range(1, min_len):
         interval = np.cumsum(bound, dtype=np.int32)
         apart = interval[above] != interval[below]
@@ -151,19 +227,18 @@ def window_minimums(strings: list[bytes], lows: np.ndarray, min_len: int) -> lis
     """For each window of each string, the smallest `lows` of the strings that hold the same window."""
     count = len(strings)
     sizes = np.fromiter(map(len, strings), np.int64, count)
-    symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + count
+    letters = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
     ends = np.cumsum(sizes + 1) - 1
-    symbols[ends] = np.arange(count)
-    order = suffix_order(symbols, int(sizes.max()))
-    bound = prefix_intervals(symbols, order, min_len)
+    order, rank = suffix_order(letters, ends)
+    bound = prefix_intervals(letters, ends, order, rank, min_len)
     owner = np.repeat(np.arange(count), sizes + 1)
-    whole = ends[owner] - np.arange(len(symbols)) >= min_len
+    whole = ends[owner] - np.arange(len(letters)) >= min_len
     rows = np.flatnonzero(whole[order])
     places = order[rows]
     interval = np.cumsum(bound)[rows]
     starts = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
     least = np.minimum.reduceat(lows[owner[places]], starts)
-    found = np.empty(len(symbols), np.int64)
+    found = np.empty(len(letters), np.int64)
     found[places] = np.repeat(least, np.diff(np.concatenate([starts, [len(places)]])))
     return [found[e - n : e - min_len + 1] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
@@ -173,8 +248,8 @@ def repeated_spans(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_len: int = 50,
-    task_bytes: int = 4 << 20,
-    hot_bytes: int = 16 << 20,
+    task_bytes: int = 1 << 20,
+    hot_bytes: int = 8 << 20,
 ) -> tuple[DataFrame, Scratch]:
     """Byte windows to remove, as (_id, _hash, _spans): _spans holds structs of start and decisions.
 
@@ -188,59 +263,66 @@ def repeated_spans(
     scratch = Scratch(spark, "substrings")
     rows = keyed(docs, id_col, text_col).select("_id", "_hash", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("bytes"))
 
+    def extremes(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(key)
+        key, ids = key[order], ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return order[starts], key[starts], np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", 2 << 20):
             ids = batch.column("_id").to_numpy(zero_copy_only=False)
-            for anchor, doc, _, _ in batch_runs(batch.column("bytes"), min_len):
-                if not len(anchor):
-                    continue
-                order = np.argsort(anchor)
-                a, d = anchor[order], ids[doc[order]]
-                starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[starts]), pa.array(np.minimum.reduceat(d, starts)), pa.array(np.maximum.reduceat(d, starts))], ["anchor", "lo", "hi"]
-                )
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for runs in batch_runs(batch.column("bytes"), min_len):
+                _, *found = extremes(runs.key, ids[runs.doc])
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["anchor", "lo", "hi"])
+
+    def neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = sent_anchors.value
         for batch in slices(batches, "bytes", 2 << 20):
-            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_hash"))
-            for anchor, doc, start, end in batch_runs(batch.column("bytes"), min_len):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(ids[doc]), pa.array(hashes[doc]), pa.array(start), pa.array(end)], ["anchor", "_id", "_hash", "start", "end"]
-                )
+            ids = batch.column("_id").to_numpy(zero_copy_only=False)
+            for runs in batch_runs(batch.column("bytes"), min_len):
+                at = np.flatnonzero(passes(runs.key))
+                b, a = at[runs.has_before[at]], at[runs.has_after[at]]
+                which = np.concatenate([b, a])
+                if len(which):
+                    first, *found = extremes(np.concatenate([runs.before[b], runs.after[a]]), ids[runs.doc[which]])
+                    found.append(runs.key[which[first]])
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["near", "lo", "hi", "anchor"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = sent_near.value
         for batch in slices(batches, "bytes", 2 << 20):
-            out: list[list] = [[] for _ in range(5)]
-            for doc, key, text, found in zip(*(batch.column(c).to_pylist() for c in ("_id", "_hash", "bytes", "runs")), strict=True):
-                for run in found:
-                    for column, value in zip(out, (doc, key, run["anchor"], run["start"], text[run["start"] : run["end"] + min_len - 1]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(column, pa.int64()) for column in out[:4]), pa.array(out[4], pa.binary())], ["_id", "_hash", "anchor", "start", "string"]
-            )
+            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_hash"))
+            for runs in batch_runs(batch.column("bytes"), min_len):
+                left, right = runs.has_before & passes(runs.before), runs.has_after & passes(runs.after)
+                at = np.flatnonzero(left | right)
+                if not len(at):
+                    continue
+                start, end = np.where(left, runs.start, runs.turn)[at], np.where(right, runs.end, runs.turn)[at]
+                doc = runs.doc[at]
+                data, bounds = binary_view(batch.column("bytes"))
+                data, from_ = data.tobytes(), bounds[doc]
+                strings = [data[a:b] for a, b in zip((from_ + start).tolist(), (from_ + end + min_len - 1).tolist(), strict=True)]
+                columns = (runs.key[at], ids[doc], hashes[doc], start)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(strings, pa.binary())], ["anchor", "_id", "_hash", "start", "string"])
 
     def decide(table: pa.Table) -> pa.Table:
         lows = table.column("lo").to_numpy()
         found = window_minimums(table.column("string").to_pylist(), lows, min_len)
         return table.select(["string", "hi"]).append_column("least", pa.array(found, pa.list_(pa.int64())))
 
-    shared = scratch.write(
-        rows.mapInArrow(anchors, "anchor long, lo long, hi long").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("anchor"),
-        "anchors",
-    )
-    # the decisions on a document's windows are no larger than the document
-    candidates = (
-        rows.mapInArrow(runs, "anchor long, _id long, _hash long, start long, end long")
-        .join(shared, "anchor")
-        .groupBy("_id", "_hash")
-        .agg(F.collect_set(F.struct("anchor", "start", "end")).alias("runs"))
-    )
-    candidates = scratch.write(candidates, "candidates")
-    scratch.drop("anchors")
-    strings = rows.join(candidates, ["_id", "_hash"]).mapInArrow(cut, "_id long, _hash long, anchor long, start long, string binary")
+    spread = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    shared = rows.mapInArrow(anchors, "anchor long, lo long, hi long").groupBy("anchor").agg(*spread).where("lo < hi")
+    shared = scratch.write(shared.select("anchor"), "anchors")
+    sent_anchors = spark.sparkContext.broadcast(Filter.of(shared, "anchor", shared.count()))
+    near = rows.mapInArrow(neighbourhoods, "near long, lo long, hi long, anchor long").groupBy("near", "anchor").agg(*spread).where("lo < hi")
+    near = scratch.write(near.select("near", "anchor"), "near")
+    sent_near = spark.sparkContext.broadcast(Filter.of(near, "near", near.count()))
+    strings = rows.mapInArrow(cut, "anchor long, _id long, _hash long, start long, string binary").join(near.select("anchor").distinct(), "anchor")
     strings = scratch.write(strings, "strings")
-    scratch.drop("candidates")
+    for held, name in ((sent_anchors, "anchors"), (sent_near, "near")):
+        held.destroy()
+        scratch.drop(name)
 
     distinct = strings.groupBy("anchor", "string").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
     distinct = scratch.write(distinct, "distinct")
