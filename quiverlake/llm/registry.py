@@ -10,6 +10,7 @@ from .decontamination import op10_benchmark_decontamination
 from .language import op5_language_id
 from .licenses import op2_license_scan
 from .packing import op1_packing
+from .perplexity import op4_lm_scoring
 from .quality import OP9_SQL, op9_quality_rules
 from .sharding import op8_sharding
 from .simhash import op6_simhash_near_dedup
@@ -18,7 +19,7 @@ from .urls import OP7_SQL, op7_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_license_scan, op3_suffix_array_dedup, op5_language_id, op6_simhash_near_dedup, op7_url_filter, op8_sharding, op9_quality_rules, op10_benchmark_decontamination]
+    found = [op1_packing, op2_license_scan, op3_suffix_array_dedup, op4_lm_scoring, op5_language_id, op6_simhash_near_dedup, op7_url_filter, op8_sharding, op9_quality_rules, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
