@@ -384,7 +384,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stay as they are; a text may become empty. Options: see repeated_spans.
     """
     spans, _ = repeated_spans(docs, id_col, text_col, min_len, **options)
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,12 +398,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     gone = np.repeat(whole, np.diff(np.concatenate([begins, [len(data)]])))
                     text = data[~gone].tobytes().decode()
                 texts.append(text)
-            columns = batch.columns[: len(docs.columns)]
+            columns = batch.columns[: len(names)]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     joined = keyed(docs, id_col, text_col).join(spans, ["_id", "_hash"], "left")
-    return joined.select(*docs.columns, "_spans").mapInArrow(cut, docs.schema)
+    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
