@@ -147,7 +147,8 @@ def shard_documents(
     average = sum(count for _, count in sizes.values()) / slots
     heavy = {slot: n for slot, n in heavy.items() if sizes[slot, 0][1] > 8 * average + 64}
     if heavy:
-        rows = record_slots(docs, id_col, text_col, slots, heavy)
+        # parts follow the rows' places, which another look at docs might change
+        rows = Scratch(docs.sparkSession, "slots").write(record_slots(docs, id_col, text_col, slots, heavy), "rows")
         sizes = measure(rows)
     used = SlotMap.balanced(sizes, shards) if known is None else known.measured(sizes).rebalanced()
     firsts, places = [0] * used.shards, []
