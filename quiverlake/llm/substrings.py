@@ -119,14 +119,16 @@ def batch_runs(texts: pa.Array, min_len: int) -> Iterator[Runs]:
 class Filter:
     """A bit for each value of the leading bits of keys; says no only if no key has them.
 
-    Its size grows with the number of keys up to 64 MB and stays there. It only spares rows the join
-    that follows, which is exact.
+    Its size grows with the number of keys up to 64 MB and stays there. It only spares work: strings that
+    it lets through without need turn out to have no repeats, and once it is full an exact join follows.
     """
 
     MOST = 29
 
-    def __init__(self, bits: int, data: np.ndarray):
+    def __init__(self, bits: int, data: np.ndarray, count: int):
         self.bits, self.data = bits, data
+        #: Whether so many keys share the bits that it lets too much through.
+        self.full = count << 3 > 1 << bits
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         at = keys.view(np.uint64) >> np.uint64(64 - self.bits)
@@ -134,7 +136,7 @@ class Filter:
 
     @classmethod
     def of(cls, keys: DataFrame, column: str, count: int) -> Filter:
-        bits = min(cls.MOST, max(16, count.bit_length() + 4))
+        bits = min(cls.MOST, max(16, count.bit_length() + 5))
         parts = 1 << 8
 
         def fill(table: pa.Table) -> pa.Table:
@@ -149,7 +151,7 @@ class Filter:
         data = np.zeros((parts, 1 << bits - 11), np.uint8)
         for r in rows.toLocalIterator():
             data[r["part"]] = np.frombuffer(r["data"], np.uint8)
-        return cls(bits, data.reshape(-1))
+        return cls(bits, data.reshape(-1), count)
 
 
 def suffix_order(letters: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +253,8 @@ def repeated_spans(
     task_bytes: int = 1 << 20,
     hot_bytes: int = 8 << 20,
 ) -> tuple[DataFrame, Scratch]:
-    """Byte windows to remove, as (_id, _hash, _spans): _spans holds structs of start and decisions.
+    """Byte windows to remove, as (_id, _hash, _spans): _spans has the start of each run of windows,
+    their number, and one decision for each or for all.
 
     A window goes if the same min_len bytes also start in a document of a smaller id. See remove_spans,
     which applies the result. A null id counts as larger than all others. Rows of one id never count
@@ -307,9 +310,18 @@ def repeated_spans(
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(strings, pa.binary())], ["anchor", "_id", "_hash", "start", "string"])
 
     def decide(table: pa.Table) -> pa.Table:
-        lows = table.column("lo").to_numpy()
-        found = window_minimums(table.column("string").to_pylist(), lows, min_len)
-        return table.select(["string", "hi"]).append_column("least", pa.array(found, pa.list_(pa.int64())))
+        table = table.sort_by("anchor")
+        strings, lows, anchor = table.column("string").to_pylist(), table.column("lo").to_numpy(), table.column("anchor").to_numpy()
+        sizes = np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))
+        # anchors have no windows in common: a few at a time keep the arrays small
+        cuts = [0]
+        for k in [*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(strings)]:
+            if sizes[k - 1] - (sizes[cuts[-1] - 1] if cuts[-1] else 0) >= 1 << 16 or k == len(strings):
+                cuts.append(k)
+        least = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            least += [x[:1] if (x == x[0]).all() else x for x in window_minimums(strings[a:b], lows[a:b], min_len)]
+        return table.select(["anchor", "sid", "hi"]).append_column("least", pa.array(least, pa.list_(pa.int64())))
 
     spread = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     shared = rows.mapInArrow(anchors, "anchor long, lo long, hi long").groupBy("anchor").agg(*spread).where("lo < hi")
@@ -318,45 +330,53 @@ def repeated_spans(
     near = rows.mapInArrow(neighbourhoods, "near long, lo long, hi long, anchor long").groupBy("near", "anchor").agg(*spread).where("lo < hi")
     near = scratch.write(near.select("near", "anchor"), "near")
     sent_near = spark.sparkContext.broadcast(Filter.of(near, "near", near.count()))
-    strings = rows.mapInArrow(cut, "anchor long, _id long, _hash long, start long, string binary").join(near.select("anchor").distinct(), "anchor")
+    strings = rows.mapInArrow(cut, "anchor long, _id long, _hash long, start long, string binary")
+    if sent_near.value.full:
+        strings = strings.join(near.select("anchor").distinct(), "anchor")
+    strings = strings.withColumns({"sid": F.xxhash64("string"), "n": F.octet_length("string") - (min_len - 1)})
     strings = scratch.write(strings, "strings")
     for held, name in ((sent_anchors, "anchors"), (sent_near, "near")):
         held.destroy()
         scratch.drop(name)
 
-    distinct = strings.groupBy("anchor", "string").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
+    distinct = strings.groupBy("anchor", "sid", "string").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
     distinct = scratch.write(distinct, "distinct")
     sizes = distinct.groupBy("anchor").agg(F.sum(F.octet_length("string")).alias("bytes"))
     total, crowded = sizes.agg(F.sum("bytes"), F.count(F.when(F.col("bytes") > hot_bytes, 1))).first()
     tasks = max(1, -(-(total or 0) // task_bytes))
+    kind = "anchor long, sid long, hi long, least array<long>"
     bucket = lambda column: F.pmod(F.xxhash64(column), F.lit(tasks)).alias("bucket")
     plain = distinct
     if crowded:
         hot = sizes.where(F.col("bytes") > hot_bytes).select("anchor")
         plain = distinct.join(hot, "anchor", "left_anti")
         windows = distinct.join(hot, "anchor").select(
-            "string", "lo", "hi", F.explode(F.sequence(F.lit(1), F.octet_length("string") - (min_len - 1))).alias("at")
+            "anchor", "sid", "lo", "hi", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("string") - (min_len - 1)), lambda k: F.substring("string", k, F.lit(min_len)))).alias("at", "window")
         )
-        windows = windows.withColumn("window", F.substring("string", F.col("at"), F.lit(min_len)))
-        one = windows.groupBy(F.col("window").alias("string")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        one = one.select(bucket("string"), "string", "lo", "hi").groupBy("bucket").applyInArrow(decide, "string binary, hi long, least array<long>")
+        one = windows.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        place = F.xxhash64("window")
+        one = one.select(bucket("window"), place.alias("anchor"), place.alias("sid"), F.col("window").alias("string"), "lo", "hi")
+        one = one.groupBy("bucket").applyInArrow(decide, kind)
         crowd = (
-            windows.join(one.select(F.col("string").alias("window"), F.col("least")[0].alias("least")), "window")
-            .groupBy("string", "hi")
+            windows.withColumn("place", place)
+            .join(one.select(F.col("sid").alias("place"), F.col("least")[0].alias("least")), "place")
+            .groupBy("anchor", "sid", "hi")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("least"))
         )
-    decided = plain.select(bucket("anchor"), "string", "lo", "hi").groupBy("bucket").applyInArrow(decide, "string binary, hi long, least array<long>")
+    decided = plain.select(bucket("anchor"), "anchor", "sid", "string", "lo", "hi").groupBy("bucket").applyInArrow(decide, kind)
     if crowded:
         decided = decided.unionByName(crowd)
-    decided = scratch.write(decided.where(F.array_min("least") < F.col("hi")).select("string", "least"), "decided")
+    decided = scratch.write(decided.where(F.array_min("least") < F.col("hi")).select("anchor", "sid", "least"), "decided")
+    scratch.drop("distinct")
     spans = (
-        strings.join(decided, "string")
+        strings.select("anchor", "sid", "_id", "_hash", "start", "n")
+        .join(decided, ["anchor", "sid"])
         .where(F.array_min("least") < F.col("_id"))
         .groupBy("_id", "_hash")
-        .agg(F.collect_list(F.struct("start", F.transform("least", lambda x: x < F.col("_id")).alias("gone"))).alias("_spans"))
+        .agg(F.collect_list(F.struct("start", "n", F.transform("least", lambda x: x < F.col("_id")).alias("gone"))).alias("_spans"))
     )
     spans = scratch.write(spans, "spans")
-    for name in ("strings", "distinct", "decided"):
+    for name in ("strings", "decided"):
         scratch.drop(name)
     return spans, scratch
 
@@ -370,7 +390,8 @@ def removed_bytes(size: int, spans: list[dict] | None, min_len: int) -> np.ndarr
     """Which bytes of a text go."""
     edge = np.zeros(size + 1, np.int64)
     for span in spans or []:
-        at = span["start"] + np.flatnonzero(span["gone"])
+        gone = span["gone"] if len(span["gone"]) == span["n"] else span["gone"] * span["n"]  # one decision may stand for all
+        at = span["start"] + np.flatnonzero(gone)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + min_len, -1)
     return np.cumsum(edge[:-1]) > 0
