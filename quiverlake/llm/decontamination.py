@@ -276,3 +276,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+OP10_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bw as (select distinct item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') as s
+  from (select item, w, least(len(w), 10) as n, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from b where len(w) > 0)),
+dw as (select rid, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') as s
+  from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw) where len(w) >= n)),
+m as (select rid, i, n, item from dw join bw using (n, s)),
+h as (select rid, count(distinct p) as hit from (select rid, unnest(range(i, i + n)) as p from m) group by rid),
+t as (select rid, count(*) as items, string_agg(item, ',' order by item) as ids from (select distinct rid, item from m) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hit, 0) as bigint) as n_hit, cast(coalesce(items, 0) as bigint) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(hit, 0) > 0 as contaminated
+from d left join h using (rid) left join t using (rid)
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpus_pipeline import ORACLE_SQL, run
 
-from .decontamination import op10_benchmark_decontamination
+from .decontamination import OP10_SQL, op10_benchmark_decontamination
 from .language import op5_language_id
 from .licenses import op2_license_scan
 from .packing import op1_packing
@@ -26,5 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op7_url_filter": OP7_SQL, "op9_quality_rules": OP9_SQL}
+    found = {"op7_url_filter": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL}
     return found | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
