@@ -2,9 +2,8 @@
 
 1. Anchors. The smallest hash among the short strings of a window is the same wherever the window
    stands, so it tells which parts of the corpus can hold equal windows. A grouped minimum and maximum
-   of doc_id finds the anchors of two documents or more, and then, among these, the anchors that also
-   have a longer neighbourhood in common. The rest of the text, nearly all of it, has no repeats and
-   goes no further. Windows of one anchor that stand together form a string.
+   of doc_id finds the anchors of two documents or more; text around other anchors has no repeats and
+   goes no further. Neighbouring windows of one anchor form a string.
 2. Intervals. Distinct strings, with the smallest doc_id of each, are dealt out by anchor. A task
    builds the transform of its strings and extends intervals backward, breadth first: the boundaries
    found in step v are the common prefixes of length v, so they come in increasing order, and after
@@ -32,6 +31,8 @@ from .common import Scratch, read_table, slices
 LAST = (1 << 63) - 1
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 ANCHOR = 24
+#: Symbols that the first sort of suffixes compares; nine bits each fit a 64-bit number.
+FIRST = 7
 #: Windows are looked at in blocks of so many; a place in a block and its window fits 20 bits.
 BLOCK = 1 << 19
 
@@ -74,17 +75,15 @@ def smallest_ahead(h: np.ndarray, width: int) -> np.ndarray:
 class Runs:
     """Runs of neighbouring windows that have their anchor in one place: all in one block of a column.
 
-    key is the anchor's hash, doc the row; start and end bound the windows' first bytes in the text.
-    before and after hash the anchor with its neighbourhood, as far as all windows reach that stand
-    left of `turn` (before) or from it on (after).
+    key is the anchor's hash, doc the row; start and end bound the windows' first bytes in the text, and
+    first says where the text's bytes begin in the column.
     """
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, last: int, min_len: int):
         base, data = first, data[first : last + min_len - 1]
-        spare = min_len - ANCHOR
         h = anchor_hashes(data)
         place = np.uint64((1 << 20) - 1)
-        at = (smallest_ahead((h & ~place) | np.arange(len(h), dtype=np.uint64), spare + 1) & place).astype(np.int64)
+        at = (smallest_ahead((h & ~place) | np.arange(len(h), dtype=np.uint64), min_len - ANCHOR + 1) & place).astype(np.int64)
         inside = np.ones(len(at), bool)
         k = int(np.searchsorted(bounds, first, "right"))
         for b in bounds[k : int(np.searchsorted(bounds, last + min_len, "right")) + 1].tolist():
@@ -93,18 +92,10 @@ class Runs:
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]])
         keep = inside[starts]
         starts, ends = starts[keep], ends[keep]
-        at = at[starts]
-        self.key = h[at].view(np.int64)
+        self.key = h[at[starts]].view(np.int64)
         self.doc = np.searchsorted(bounds, starts + base, "right") - 1
-        # a window that starts before `turn` has this many bytes before its anchor, any other so many after it
-        half = (spare + 1) // 2
-        turn = np.clip(at - half + 1, starts, ends)
-        self.has_before, self.has_after = turn > starts, turn < ends
-        left, right = np.maximum(at - half, 0), np.minimum(at + spare - half + 1, len(h) - 1)
-        self.before = mixed(h[left] * ODD[2] + h[at]).view(np.int64)
-        self.after = mixed(h[at] * ODD[3] + h[right]).view(np.int64)
-        shift = base - bounds[self.doc]
-        self.start, self.turn, self.end = starts + shift, turn + shift, ends + shift
+        self.first = bounds[self.doc]
+        self.start, self.end = starts + base - self.first, ends + base - self.first
 
 
 def batch_runs(texts: pa.Array, min_len: int) -> Iterator[Runs]:
@@ -154,17 +145,17 @@ class Filter:
         return cls(bits, data.reshape(-1), count)
 
 
-def suffix_order(letters: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in order, and each one's rank. Strings end at `ends`, each in a symbol of its own
+def suffix_order(letters: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All suffixes in order, each one's rank, and where those of equal first letters begin. Strings end at `ends`, each in a symbol of its own
     that is smaller than any letter and than those of later strings.
 
-    The first sort compares seven symbols. Later ones double the length, and only sort what still ties.
+    The first sort compares FIRST symbols. Later ones double the length, and only sort what still ties.
     """
     n = len(letters)
     symbols = letters.astype(np.int64) + 1
     symbols[ends] = 0
     key, alive, done = symbols.copy(), symbols > 0, ~(symbols > 0)
-    for d in range(1, 7):
+    for d in range(1, FIRST):
         key <<= 9
         key[: n - d] += np.where(alive[: n - d], symbols[d:], 0)
         alive[: n - d] &= symbols[d:] > 0
@@ -176,13 +167,13 @@ def suffix_order(letters: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     begins[1:] = (sorted_[1:] != sorted_[:-1]) | done[order[1:]] | done[order[:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-    step = 7
+    step, intervals = FIRST, begins.copy()
     while True:
         tied = ~begins
         tied[:-1] |= ~begins[1:]
         slots = np.flatnonzero(tied)
         if not len(slots):
-            return order, rank
+            return order, rank, intervals
         places = order[slots]
         key = rank[places] * np.int64(n) + rank[places + step]
         o = np.argsort(key, kind="stable")
@@ -195,27 +186,23 @@ def suffix_order(letters: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
         step *= 2
 
 
-def prefix_intervals(letters: np.ndarray, ends: np.ndarray, order: np.ndarray, rank: np.ndarray, min_len: int) -> np.ndarray:
+def prefix_intervals(letters: np.ndarray, ends: np.ndarray, order: np.ndarray, rank: np.ndarray, bound: np.ndarray, min_len: int) -> np.ndarray:
     """Marks, in suffix order, where an interval of suffixes that share min_len letters or more begins.
 
-    Works on the Burrows-Wheeler transform. At first the intervals are those of one symbol. Each step
-    extends all intervals backward by every symbol: two neighbours in the extended order stay together
+    Works on the Burrows-Wheeler transform, from the intervals of FIRST letters in `bound`. Each step
+    extends all intervals backward by every letter: two neighbours in the extended order stay together
     if the suffixes they extend lie in one interval. A boundary found in step v is a longest common
     prefix of v; there it ends, as no later step can find a smaller one.
     """
-    n, strings = len(letters), len(ends)
-    ended = np.zeros(n, bool)
+    ended = np.zeros(len(letters), bool)
     ended[ends] = True
     transform, closes = letters[order - 1], ended[order - 1]
     rows = np.flatnonzero(~closes)
     # the suffix that each one extends: symbols that end strings come first, then the letters in order
-    extends = np.concatenate([rank[(ends + 1) % n], rows[np.argsort(transform[rows], kind="stable")]])
-    first = letters[order]
-    bound = np.ones(n, bool)
-    bound[strings + 1 :] = first[strings + 1 :] != first[strings:-1]
+    extends = np.concatenate([rank[(ends + 1) % len(letters)], rows[np.argsort(transform[rows], kind="stable")]])
     open_ = np.flatnonzero(~bound)
     above, below = extends[open_ - 1].astype(np.int32), extends[open_].astype(np.int32)
-    for _ in range(1, min_len):
+    for _ in range(FIRST, min_len):
         interval = np.cumsum(bound, dtype=np.int32)
         apart = interval[above] != interval[below]
         if not apart.any():
@@ -231,8 +218,8 @@ def window_minimums(strings: list[bytes], lows: np.ndarray, min_len: int) -> lis
     sizes = np.fromiter(map(len, strings), np.int64, count)
     letters = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
     ends = np.cumsum(sizes + 1) - 1
-    order, rank = suffix_order(letters, ends)
-    bound = prefix_intervals(letters, ends, order, rank, min_len)
+    order, rank, bound = suffix_order(letters, ends)
+    bound = prefix_intervals(letters, ends, order, rank, bound, min_len)
     owner = np.repeat(np.arange(count), sizes + 1)
     whole = ends[owner] - np.arange(len(letters)) >= min_len
     rows = np.flatnonzero(whole[order])
@@ -245,6 +232,15 @@ def window_minimums(strings: list[bytes], lows: np.ndarray, min_len: int) -> lis
     return [found[e - n : e - min_len + 1] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
+def packed_minimums(strings: list[bytes], lows: np.ndarray, min_len: int) -> list[list[int]]:
+    """window_minimums, with one value for a string whose windows all have the same."""
+    found = window_minimums(strings, lows, min_len)
+    bounds = np.cumsum([0, *map(len, found[:-1])])
+    flat = np.concatenate(found)
+    same = np.minimum.reduceat(flat, bounds) == np.maximum.reduceat(flat, bounds)
+    return [[int(x[0])] if k else x.tolist() for x, k in zip(found, same.tolist(), strict=True)]
+
+
 def repeated_spans(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -266,46 +262,27 @@ def repeated_spans(
     scratch = Scratch(spark, "substrings")
     rows = keyed(docs, id_col, text_col).select("_id", "_hash", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("bytes"))
 
-    def extremes(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.argsort(key)
-        key, ids = key[order], ids[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return order[starts], key[starts], np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
-
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", 2 << 20):
             ids = batch.column("_id").to_numpy(zero_copy_only=False)
             for runs in batch_runs(batch.column("bytes"), min_len):
-                _, *found = extremes(runs.key, ids[runs.doc])
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["anchor", "lo", "hi"])
-
-    def neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = sent_anchors.value
-        for batch in slices(batches, "bytes", 2 << 20):
-            ids = batch.column("_id").to_numpy(zero_copy_only=False)
-            for runs in batch_runs(batch.column("bytes"), min_len):
-                at = np.flatnonzero(passes(runs.key))
-                b, a = at[runs.has_before[at]], at[runs.has_after[at]]
-                which = np.concatenate([b, a])
-                if len(which):
-                    first, *found = extremes(np.concatenate([runs.before[b], runs.after[a]]), ids[runs.doc[which]])
-                    found.append(runs.key[which[first]])
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["near", "lo", "hi", "anchor"])
+                order = np.argsort(runs.key)
+                key, own = runs.key[order], ids[runs.doc[order]]
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                columns = (key[starts], np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["anchor", "lo", "hi"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = sent_near.value
+        passes = sent.value
         for batch in slices(batches, "bytes", 2 << 20):
             ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_hash"))
+            data = binary_view(batch.column("bytes"))[0].tobytes()
             for runs in batch_runs(batch.column("bytes"), min_len):
-                left, right = runs.has_before & passes(runs.before), runs.has_after & passes(runs.after)
-                at = np.flatnonzero(left | right)
+                at = np.flatnonzero(passes(runs.key))
                 if not len(at):
                     continue
-                start, end = np.where(left, runs.start, runs.turn)[at], np.where(right, runs.end, runs.turn)[at]
-                doc = runs.doc[at]
-                data, bounds = binary_view(batch.column("bytes"))
-                data, from_ = data.tobytes(), bounds[doc]
-                strings = [data[a:b] for a, b in zip((from_ + start).tolist(), (from_ + end + min_len - 1).tolist(), strict=True)]
+                first, start, end, doc = runs.first[at], runs.start[at], runs.end[at], runs.doc[at]
+                strings = [data[a:b] for a, b in zip((first + start).tolist(), (first + end + min_len - 1).tolist(), strict=True)]
                 columns = (runs.key[at], ids[doc], hashes[doc], start)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(strings, pa.binary())], ["anchor", "_id", "_hash", "start", "string"])
 
@@ -320,25 +297,17 @@ def repeated_spans(
                 cuts.append(k)
         least = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            least += [x[:1] if (x == x[0]).all() else x for x in window_minimums(strings[a:b], lows[a:b], min_len)]
+            least += packed_minimums(strings[a:b], lows[a:b], min_len)
         return table.select(["anchor", "sid", "hi"]).append_column("least", pa.array(least, pa.list_(pa.int64())))
 
-    spread = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    shared = rows.mapInArrow(anchors, "anchor long, lo long, hi long").groupBy("anchor").agg(*spread).where("lo < hi")
+    shared = rows.mapInArrow(anchors, "anchor long, lo long, hi long").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     shared = scratch.write(shared.select("anchor"), "anchors")
-    sent_anchors = spark.sparkContext.broadcast(Filter.of(shared, "anchor", shared.count()))
-    near = rows.mapInArrow(neighbourhoods, "near long, lo long, hi long, anchor long").groupBy("near", "anchor").agg(*spread).where("lo < hi")
-    near = scratch.write(near.select("near", "anchor"), "near")
-    sent_near = spark.sparkContext.broadcast(Filter.of(near, "near", near.count()))
+    sent = spark.sparkContext.broadcast(Filter.of(shared, "anchor", shared.count()))
+    # strings are cut from the texts twice, which takes less than to keep them
     strings = rows.mapInArrow(cut, "anchor long, _id long, _hash long, start long, string binary")
-    if sent_near.value.full:
-        strings = strings.join(near.select("anchor").distinct(), "anchor")
+    if sent.value.full:
+        strings = strings.join(shared, "anchor")
     strings = strings.withColumns({"sid": F.xxhash64("string"), "n": F.octet_length("string") - (min_len - 1)})
-    strings = scratch.write(strings, "strings")
-    for held, name in ((sent_anchors, "anchors"), (sent_near, "near")):
-        held.destroy()
-        scratch.drop(name)
-
     distinct = strings.groupBy("anchor", "sid", "string").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
     distinct = scratch.write(distinct, "distinct")
     sizes = distinct.groupBy("anchor").agg(F.sum(F.octet_length("string")).alias("bytes"))
@@ -376,7 +345,7 @@ def repeated_spans(
         .agg(F.collect_list(F.struct("start", "n", F.transform("least", lambda x: x < F.col("_id")).alias("gone"))).alias("_spans"))
     )
     spans = scratch.write(spans, "spans")
-    for name in ("strings", "decided"):
+    for name in ("anchors", "decided"):
         scratch.drop(name)
     return spans, scratch
 
@@ -389,11 +358,19 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def removed_bytes(size: int, spans: list[dict] | None, min_len: int) -> np.ndarray:
     """Which bytes of a text go."""
     edge = np.zeros(size + 1, np.int64)
+    first, last = [], []  # of windows that go, first and last of each unbroken run
     for span in spans or []:
-        gone = span["gone"] if len(span["gone"]) == span["n"] else span["gone"] * span["n"]  # one decision may stand for all
-        at = span["start"] + np.flatnonzero(gone)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + min_len, -1)
+        start, n, gone = span["start"], span["n"], span["gone"]
+        if len(gone) < n:  # one decision stands for all
+            if gone[0]:
+                first.append(start)
+                last.append(start + n - 1)
+        else:
+            at = [start + k for k, x in enumerate(gone) if x]
+            first += at
+            last += at
+    np.add.at(edge, np.array(first, np.int64), 1)
+    np.add.at(edge, np.array(last, np.int64) + min_len, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
