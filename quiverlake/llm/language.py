@@ -118,11 +118,15 @@ def fit_languages(
     rows = rows.where("id is not null and lang is not null and text is not null")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     total = sum(r["count"] for r in counts)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    order = [F.xxhash64("id"), F.col("id")]
+    first = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     ids = (
         rows.where(F.col("lang").isin([r["lang"] for r in counts]))
-        .select("lang", "id")
-        .withColumn("n", F.row_number().over(order))
+        .select("lang", "id", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(256)).alias("part"))
+        .withColumn("n", first)
+        .where(F.col("n") <= rows_per_language)  # a language may have most rows: parts of it first
+        .withColumn("n", best)
         .where(F.col("n") <= rows_per_language)
         .collect()
     )

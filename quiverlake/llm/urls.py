@@ -101,6 +101,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     starts = starts.select("section", "salt", "key", F.lit(0).alias("kind"), none.cast("long").alias("page_id"), none.cast("string").alias("host"), none.cast("string").alias("path"), "stack")
     kind = starts.schema["stack"].dataType
     events = urls.select("section", "salt", "key", F.lit(1).alias("kind"), "page_id", "host", "path", none.cast(kind).alias("stack")).unionByName(starts)
+    # without this, the window would take over the partitions of the join above, a section in each
+    events = events.repartition("section", "salt")
     order = Window.partitionBy("section", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = events.withColumn("open", F.last("stack", ignorenulls=True).over(order)).where("kind = 1")
     fits = F.filter("open", lambda r: (F.col("key") < r["end"]) & F.startswith(F.col("path"), r["path"]) & (F.col("host") != ""))
