@@ -248,6 +248,7 @@ def repeated_spans(
     min_len: int = 50,
     task_bytes: int = 1 << 20,
     hot_bytes: int = 8 << 20,
+    rounds: int = 2,
 ) -> tuple[DataFrame, Scratch]:
     """Byte windows to remove, as (_id, _hash, _spans): _spans has the start of each run of windows,
     their number, and one decision for each or for all.
@@ -255,6 +256,9 @@ def repeated_spans(
     A window goes if the same min_len bytes also start in a document of a smaller id. See remove_spans,
     which applies the result. A null id counts as larger than all others. Rows of one id never count
     against each other. Null and short texts have no windows.
+
+    Anchors are handled in `rounds`, each with its share of them by hash, so that the strings of one
+    round alone take disk at a time.
     """
     if min_len < ANCHOR + 2:
         raise ValueError(f"min_len must be {ANCHOR + 2} or more")
@@ -272,19 +276,24 @@ def repeated_spans(
                 columns = (key[starts], np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts))
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["anchor", "lo", "hi"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = sent.value
-        for batch in slices(batches, "bytes", 2 << 20):
-            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_hash"))
-            data = binary_view(batch.column("bytes"))[0].tobytes()
-            for runs in batch_runs(batch.column("bytes"), min_len):
-                at = np.flatnonzero(passes(runs.key))
-                if not len(at):
-                    continue
-                first, start, end, doc = runs.first[at], runs.start[at], runs.end[at], runs.doc[at]
-                strings = [data[a:b] for a, b in zip((first + start).tolist(), (first + end + min_len - 1).tolist(), strict=True)]
-                columns = (runs.key[at], ids[doc], hashes[doc], start)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(strings, pa.binary())], ["anchor", "_id", "_hash", "start", "string"])
+    def cutter(mine: int):
+        """Strings around the anchors of one round."""
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            passes = sent.value
+            for batch in slices(batches, "bytes", 2 << 20):
+                ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_hash"))
+                data = binary_view(batch.column("bytes"))[0].tobytes()
+                for runs in batch_runs(batch.column("bytes"), min_len):
+                    at = np.flatnonzero((runs.key % rounds == mine) & passes(runs.key))
+                    if not len(at):
+                        continue
+                    first, start, end, doc = runs.first[at], runs.start[at], runs.end[at], runs.doc[at]
+                    strings = [data[a:b] for a, b in zip((first + start).tolist(), (first + end + min_len - 1).tolist(), strict=True)]
+                    columns = (runs.key[at], ids[doc], hashes[doc], start)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(strings, pa.binary())], ["anchor", "_id", "_hash", "start", "string"])
+
+        return cut
 
     def decide(table: pa.Table) -> pa.Table:
         table = table.sort_by("anchor")
@@ -303,51 +312,55 @@ def repeated_spans(
     shared = rows.mapInArrow(anchors, "anchor long, lo long, hi long").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     shared = scratch.write(shared.select("anchor"), "anchors")
     sent = spark.sparkContext.broadcast(Filter.of(shared, "anchor", shared.count()))
-    # strings are cut from the texts twice, which takes less than to keep them
-    strings = rows.mapInArrow(cut, "anchor long, _id long, _hash long, start long, string binary")
-    if sent.value.full:
-        strings = strings.join(shared, "anchor")
-    strings = strings.withColumns({"sid": F.xxhash64("string"), "n": F.octet_length("string") - (min_len - 1)})
-    distinct = strings.groupBy("anchor", "sid", "string").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
-    distinct = scratch.write(distinct, "distinct")
-    sizes = distinct.groupBy("anchor").agg(F.sum(F.octet_length("string")).alias("bytes"))
-    total, crowded = sizes.agg(F.sum("bytes"), F.count(F.when(F.col("bytes") > hot_bytes, 1))).first()
-    tasks = max(1, -(-(total or 0) // task_bytes))
-    kind = "anchor long, sid long, hi long, least array<long>"
-    bucket = lambda column: F.pmod(F.xxhash64(column), F.lit(tasks)).alias("bucket")
-    plain = distinct
-    if crowded:
-        hot = sizes.where(F.col("bytes") > hot_bytes).select("anchor")
-        plain = distinct.join(hot, "anchor", "left_anti")
-        windows = distinct.join(hot, "anchor").select(
-            "anchor", "sid", "lo", "hi", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("string") - (min_len - 1)), lambda k: F.substring("string", k, F.lit(min_len)))).alias("at", "window")
-        )
-        one = windows.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        place = F.xxhash64("window")
-        one = one.select(bucket("window"), place.alias("anchor"), place.alias("sid"), F.col("window").alias("string"), "lo", "hi")
-        one = one.groupBy("bucket").applyInArrow(decide, kind)
-        crowd = (
-            windows.withColumn("place", place)
-            .join(one.select(F.col("sid").alias("place"), F.col("least")[0].alias("least")), "place")
-            .groupBy("anchor", "sid", "hi")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("least"))
+    found = None
+    for mine in range(rounds):
+        # strings are cut from the texts twice, which takes less disk than to keep them
+        strings = rows.mapInArrow(cutter(mine), "anchor long, _id long, _hash long, start long, string binary")
+        if sent.value.full:
+            strings = strings.join(shared, "anchor")
+        strings = strings.withColumns({"sid": F.xxhash64("string"), "n": F.octet_length("string") - (min_len - 1)})
+        distinct = strings.groupBy("anchor", "sid", "string").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
+        distinct = scratch.write(distinct, f"distinct{mine}")
+        sizes = distinct.groupBy("anchor").agg(F.sum(F.octet_length("string")).alias("bytes"))
+        total, crowded = sizes.agg(F.sum("bytes"), F.count(F.when(F.col("bytes") > hot_bytes, 1))).first()
+        tasks = max(1, -(-(total or 0) // task_bytes))
+        kind = "anchor long, sid long, hi long, least array<long>"
+        bucket = lambda column: F.pmod(F.xxhash64(column), F.lit(tasks)).alias("bucket")
+        plain = distinct
+        if crowded:
+            hot = sizes.where(F.col("bytes") > hot_bytes).select("anchor")
+            plain = distinct.join(hot, "anchor", "left_anti")
+            windows = distinct.join(hot, "anchor").select(
+                "anchor", "sid", "lo", "hi", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("string") - (min_len - 1)), lambda k: F.substring("string", k, F.lit(min_len)))).alias("at", "window")
+            )
+            one = windows.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            place = F.xxhash64("window")
+            one = one.select(bucket("window"), place.alias("anchor"), place.alias("sid"), F.col("window").alias("string"), "lo", "hi")
+            one = one.groupBy("bucket").applyInArrow(decide, kind)
+            crowd = (
+                windows.withColumn("place", place)
+                .join(one.select(F.col("sid").alias("place"), F.col("least")[0].alias("least")), "place")
+                .groupBy("anchor", "sid", "hi")
+                .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("least"))
+            )
+        decided = plain.select(bucket("anchor"), "anchor", "sid", "string", "lo", "hi").groupBy("bucket").applyInArrow(decide, kind)
+        if crowded:
+            decided = decided.unionByName(crowd)
+        decided = scratch.write(decided.where(F.array_min("least") < F.col("hi")).select("anchor", "sid", "least"), f"decided{mine}")
+        scratch.drop(f"distinct{mine}")
+        spans = (
+            strings.select("anchor", "sid", "_id", "_hash", "start", "n")
+            .join(decided, ["anchor", "sid"])
+            .where(F.array_min("least") < F.col("_id"))
+            .groupBy("_id", "_hash")
+            .agg(F.collect_list(F.struct("start", "n", F.transform("least", lambda x: x < F.col("_id")).alias("gone"))).alias("_spans"))
         )
-    decided = plain.select(bucket("anchor"), "anchor", "sid", "string", "lo", "hi").groupBy("bucket").applyInArrow(decide, kind)
-    if crowded:
-        decided = decided.unionByName(crowd)
-    decided = scratch.write(decided.where(F.array_min("least") < F.col("hi")).select("anchor", "sid", "least"), "decided")
-    scratch.drop("distinct")
-    spans = (
-        strings.select("anchor", "sid", "_id", "_hash", "start", "n")
-        .join(decided, ["anchor", "sid"])
-        .where(F.array_min("least") < F.col("_id"))
-        .groupBy("_id", "_hash")
-        .agg(F.collect_list(F.struct("start", "n", F.transform("least", lambda x: x < F.col("_id")).alias("gone"))).alias("_spans"))
-    )
-    spans = scratch.write(spans, "spans")
-    for name in ("anchors", "decided"):
-        scratch.drop(name)
-    return spans, scratch
+        part = scratch.write(spans, f"spans{mine}")
+        found = part if found is None else found.unionByName(part)
+        scratch.drop(f"decided{mine}")
+    scratch.drop("anchors")
+    # a document's runs are no more than its bytes
+    return found.groupBy("_id", "_hash").agg(F.flatten(F.collect_list("_spans")).alias("_spans")), scratch
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
