@@ -360,7 +360,7 @@ def test_quality(docs, empty, spark):
     found = quality.clean_lines(docs.withColumn("kept", F.lit(1)).withColumn("n_words", F.lit("x"))).collect()
     assert ordered((r["doc_id"], *(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))) for r in found) == ordered((i, *brute_quality(t)) for i, t in ROWS)
     assert quality.clean_lines(empty).count() == 0
-    prose = [f"This is sentence number {i}, with some words in it." for i in range(20)]
+    prose = [" ".join(f"w{i}x{j}" for j in range(9)) + "." for i in range(20)]  # no three words recur
     bad = ["home | about | contact | search", "Please read our privacy policy.", "word " * 12, "$$$ ### %%%"]
     rows = spark.createDataFrame([(1, "\n".join(prose)), (2, "\n".join(prose[:10] + bad)), (3, "\n".join(prose[:8] + bad * 20))], "doc_id long, text string")
     judged = {r["doc_id"]: r for r in quality.clean_lines(rows).collect()}
