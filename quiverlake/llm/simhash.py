@@ -205,13 +205,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named.withColumnRenamed("low", "component_id"), "fp").select("doc_id", "hash", "fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """One row of each component stays, with all its columns: one of the smallest id; null ids come last.
-
-    Rows alike in id and text count as one, of which the first met stays.
-    """
+def first_of_groups(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each root in rows(doc_id, hash, root), with all its columns."""
     last = F.lit((1 << 63) - 1)
-    rows = near_duplicates(docs, id_col, text_col, radius)
     keep = rows.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("hash").alias("_hash"))).alias("k"))
     keep = Scratch(docs.sparkSession, "simhash").write(keep.select("k._id", "k._hash"), "keep")
     keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), last), "_hash": F.xxhash64(F.col(text_col).cast("string"))})
@@ -219,6 +215,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return keyed.join(keep, ["_id", "_hash"], "left_semi").withColumn("_n", first).where("_n = 1").select(*docs.columns)
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """One row of each component stays, with all its columns: one of the smallest id; null ids come last.
+
+    Rows alike in id and text count as one, of which the first met stays.
+    """
+    return first_of_groups(docs, near_duplicates(docs, id_col, text_col, radius), id_col, text_col)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
