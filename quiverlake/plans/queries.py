@@ -223,34 +223,34 @@ def validate_duplicates(spark, sf_dir):
     return ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def graph(spark: SparkSession, sf_dir: str, shards: int = 1) -> hnsw.HnswIndex:
-    return hnsw.HnswIndex(hnsw.build_graph(vectors(spark, sf_dir), CONFIG, shards), CONFIG, shards)
+def graph(spark: SparkSession, sf_dir: str) -> hnsw.HnswIndex:
+    return hnsw.HnswIndex.from_dataframe(vectors(spark, sf_dir), CONFIG)
 
 
-CONFIG = hnsw.HnswConfig(64, M=8, ef_construction=40, ef_search=50)
+CONFIG = hnsw.HnswConfig(64)
 #: A breadth that no table of the tests exceeds; a search takes no more than there are rows.
 ALL = 1 << 30
 
 
 @query(BATCH)
 def hnsw_full_breadth_topk(spark, sf_dir):
-    return graph(spark, sf_dir, 4).search_batch(asked(spark, sf_dir), 10, ALL)
+    return graph(spark, sf_dir).search_batch(asked(spark, sf_dir), 10, ALL)
 
 
 @query(f"select cast(i as bigint) as query_id, 1.0::double as recall from range({ASKED}) as t(i)")
 def recall_full_breadth(spark, sf_dir):
-    found = graph(spark, sf_dir, 4).search_batch(asked(spark, sf_dir), 10, ALL)
+    found = graph(spark, sf_dir).search_batch(asked(spark, sf_dir), 10, ALL)
     return metrics.recall(found, topk_batch(vectors(spark, sf_dir), asked(spark, sf_dir), 10), 10)
 
 
 @query()
 def hnsw_topk(spark, sf_dir):
-    return graph(spark, sf_dir, 4).search_batch(asked(spark, sf_dir), 10)
+    return graph(spark, sf_dir).search_batch(asked(spark, sf_dir), 10)
 
 
 @query()
 def hnsw_recall(spark, sf_dir):
-    found = graph(spark, sf_dir, 4).search_batch(asked(spark, sf_dir), 10)
+    found = graph(spark, sf_dir).search_batch(asked(spark, sf_dir), 10)
     return metrics.recall(found, topk_batch(vectors(spark, sf_dir), asked(spark, sf_dir), 10), 10)
 
 
