@@ -354,10 +354,10 @@ def reciprocal_fraction(nodes: DataFrame) -> DataFrame:
     return e.join(back, ["shard", "src", "dst"], "left").agg(F.coalesce(F.avg(F.coalesce("both", F.lit(0)).cast("double")), F.lit(1.0)).alias("reciprocal"))
 
 
-def reachable(nodes: DataFrame, layer: int = 0, without_chain: bool = False, rounds: int = 1000) -> DataFrame:
+def reachable(nodes: DataFrame, layer: int = 0, without_chain: bool = False, rounds: int | None = None) -> DataFrame:
     """(shard, reachable): nodes in reach of the entry on a layer, by breadth-first search over the links.
 
-    Each round is written to the shared checkpoint folder, so plans stay short and survive lost executors.
+    Goes on until nothing new is in reach; a limit of rounds that ends before raises RuntimeError. Each round is written to the shared checkpoint folder, so plans stay short and survive lost executors.
     """
     spark = nodes.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -373,11 +373,15 @@ def reachable(nodes: DataFrame, layer: int = 0, without_chain: bool = False, rou
     entry = numbered.groupBy("shard").agg(F.min_by("node", F.struct(-F.col("level"), F.col("node"))).alias("node"))
     seen = entry.checkpoint()
     front = seen
-    for _ in range(rounds):
+    done = 0
+    while True:
         front = front.withColumnRenamed("node", "src").join(e, ["shard", "src"]).select("shard", F.col("dst").alias("node")).distinct()
         front = front.join(seen, ["shard", "node"], "left_anti").checkpoint()
         if front.isEmpty():
             break
+        if done == rounds:
+            raise RuntimeError(f"{rounds} rounds did not reach all nodes")
+        done += 1
         seen = seen.unionByName(front).checkpoint()
     return seen.groupBy("shard").agg(F.count("*").alias("reachable"))
 
