@@ -86,7 +86,8 @@ def topk_k_zero(spark, sf_dir):
 
 @query(one_sql(100000))
 def topk_k_exceeds(spark, sf_dir):
-    return topk(vectors(spark, sf_dir), first_vector(spark, sf_dir), 100000)
+    rows = vectors(spark, sf_dir)
+    return topk(rows, first_vector(spark, sf_dir), rows.count() + 1)
 
 
 @query(one_sql(10, "q.id = 'zero'"))
