@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlake.functions import vectors as V
@@ -373,10 +373,22 @@ def index_file_roundtrip(spark, sf_dir):
 
 @query("select dataset, true as consistent from (values ('even'), ('odd')) as t(dataset)")
 def hash_consistency(spark, sf_dir):
-    runs = embeddings(spark, sf_dir).select(F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd").alias("dataset"), F.lit("d").alias("data_hash"), F.lit("q").alias("query_hash"))
+    """Two runs, over the table as read and dealt anew: hashes come from the vectors and queries that each run reads."""
+    runs = None
+    for deal in (lambda rows: rows, lambda rows: rows.repartition("id")):
+        asked_hash = asked(spark, sf_dir).select(rows_hash("query_id", "qvalues")).first()[0]
+        dataset = F.when(F.col("ord") % 2 == 0, "even").otherwise("odd").alias("dataset")
+        run = deal(vectors(spark, sf_dir).where("ord >= 0")).groupBy(dataset).agg(rows_hash("id", "values").alias("data_hash"))
+        run = run.withColumn("query_hash", F.lit(asked_hash))
+        runs = run if runs is None else runs.unionByName(run)
     return metrics.consistent_hashes(runs)
 
 
+def rows_hash(key: str, values: str) -> Column:
+    """A hash of all rows that does not depend on their order."""
+    return F.sum(F.xxhash64(key, V.row_sha256(F.col(values))).cast("decimal(20,0)")).cast("string")
+
+
 @query()
 def vector_sha256(spark, sf_dir):
     return vectors(spark, sf_dir).select("id", V.row_sha256(F.col("values")).alias("sha256"))
