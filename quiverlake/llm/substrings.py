@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ ANCHOR = 24
 FIRST = 7
 #: Windows are looked at in blocks of so many; a place in a block and its window fits 20 bits.
 BLOCK = 1 << 19
+#: Bits of one bitmap of Spark's bitmap functions.
+MAP_BITS = 1 << 15
 
 
 def binary_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +79,8 @@ class Runs:
     """Runs of neighbouring windows that have their anchor in one place: all in one block of a column.
 
     key is the anchor's hash, doc the row; start and end bound the windows' first bytes in the text, and
-    first says where the text's bytes begin in the column.
+    first says where the text's bytes begin in the column. sid is a 64-bit hash of the run's string: the
+    sum of its 24-byte strings' hashes, each mixed with the one behind it, so equal strings have it equal.
     """
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, last: int, min_len: int):
@@ -96,6 +100,10 @@ class Runs:
         self.doc = np.searchsorted(bounds, starts + base, "right") - 1
         self.first = bounds[self.doc]
         self.start, self.end = starts + base - self.first, ends + base - self.first
+        sums = np.zeros(len(h), np.uint64)
+        np.cumsum(mixed(h[:-1] * ODD[1] + h[1:]), out=sums[1:])
+        whole = sums[ends + min_len - 1 - ANCHOR] - sums[starts]
+        self.sid = mixed(whole * ODD[2] + h[starts] + (ends - starts).astype(np.uint64) * ODD[3]).view(np.int64)
 
 
 def batch_runs(texts: pa.Array, min_len: int) -> Iterator[Runs]:
@@ -127,20 +135,12 @@ class Filter:
 
     @classmethod
     def of(cls, keys: DataFrame, column: str, count: int) -> Filter:
+        """Set bits are gathered in bitmaps of 4 KB, map side first; the driver gets those, 64 MB in all at most."""
         bits = min(cls.MOST, max(16, count.bit_length() + 5))
-        parts = 1 << 8
-
-        def fill(table: pa.Table) -> pa.Table:
-            u = table.column("k").to_numpy().view(np.uint64)
-            within = (u >> np.uint64(64 - bits)).astype(np.int64) & ((1 << bits - 8) - 1)
-            flags = np.zeros(1 << bits - 8, np.uint8)
-            flags[within] = 1
-            return pa.table({"part": pa.array([int(u[0] >> np.uint64(56))], pa.int32()), "data": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
-
-        k = F.col(column)
-        rows = keys.select(k.alias("k"), F.shiftrightunsigned(k, 56).cast("int").alias("part")).groupBy("part").applyInArrow(fill, "part int, data binary")
-        data = np.zeros((parts, 1 << bits - 11), np.uint8)
-        for r in rows.toLocalIterator():
+        at = F.shiftrightunsigned(F.col(column), 64 - bits)
+        rows = keys.select((at / MAP_BITS).cast("int").alias("part"), F.pmod(at, F.lit(MAP_BITS)).alias("bit"))
+        data = np.zeros((1 << bits) // MAP_BITS * (MAP_BITS // 8), np.uint8).reshape(-1, MAP_BITS // 8)
+        for r in rows.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("data")).toLocalIterator():
             data[r["part"]] = np.frombuffer(r["data"], np.uint8)
         return cls(bits, data.reshape(-1), count)
 
@@ -232,13 +232,22 @@ def window_minimums(strings: list[bytes], lows: np.ndarray, min_len: int) -> lis
     return [found[e - n : e - min_len + 1] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
-def packed_minimums(strings: list[bytes], lows: np.ndarray, min_len: int) -> list[list[int]]:
-    """window_minimums, with one value for a string whose windows all have the same."""
+def decision_runs(strings: list[bytes], lows: np.ndarray, highs: np.ndarray, min_len: int) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring windows of one string with the same smallest document, as (string, first
+    window, last window + 1, smallest document); without those that no document of the string is above."""
     found = window_minimums(strings, lows, min_len)
-    bounds = np.cumsum([0, *map(len, found[:-1])])
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    begins = np.cumsum(sizes) - sizes
     flat = np.concatenate(found)
-    same = np.minimum.reduceat(flat, bounds) == np.maximum.reduceat(flat, bounds)
-    return [[int(x[0])] if k else x.tolist() for x, k in zip(found, same.tolist(), strict=True)]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[begins] = True
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(flat))
+    owner = np.searchsorted(begins, starts, "right") - 1
+    keep = flat[starts] < highs[owner]
+    starts, ends, owner = starts[keep], ends[keep], owner[keep]
+    return owner, starts - begins[owner], ends - begins[owner], flat[starts]
 
 
 def repeated_spans(
@@ -250,12 +259,14 @@ def repeated_spans(
     hot_bytes: int = 8 << 20,
     rounds: int = 2,
 ) -> tuple[DataFrame, Scratch]:
-    """Byte windows to remove, as (_id, _hash, _spans): _spans has the start of each run of windows,
-    their number, and one decision for each or for all.
+    """Byte strings to remove, as (_id, _hash, _spans): _spans is an array of numbers, each with the first
+    byte of a span in its upper 32 bits and the byte after its last in the lower ones. Spans may overlap.
 
-    A window goes if the same min_len bytes also start in a document of a smaller id. See remove_spans,
+    A window goes if the same min_len bytes also start in a document of a smaller id. See `removed`,
     which applies the result. A null id counts as larger than all others. Rows of one id never count
-    against each other. Null and short texts have no windows.
+    against each other, and rows alike in id and text get one set of spans. Null and short texts have no
+    windows; an empty table gives no rows. Very long texts are looked at in blocks that overlap. Other
+    columns are not looked at.
 
     Anchors are handled in `rounds`, each with its share of them by hash, so that the strings of one
     round alone take disk at a time.
@@ -264,7 +275,7 @@ def repeated_spans(
         raise ValueError(f"min_len must be {ANCHOR + 2} or more")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    rows = keyed(docs, id_col, text_col).select("_id", "_hash", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("bytes"))
+    rows = keyed(docs, id_col, text_col).select("_id", "_hash", F.coalesce("_text", F.lit("")).cast("binary").alias("bytes"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", 2 << 20):
@@ -276,56 +287,62 @@ def repeated_spans(
                 columns = (key[starts], np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts))
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["anchor", "lo", "hi"])
 
-    def cutter(mine: int):
-        """Strings around the anchors of one round."""
+    def cutter(mine: int, whole: bool):
+        """Strings around the anchors of one round: their bytes, or where they stand."""
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             passes = sent.value
             for batch in slices(batches, "bytes", 2 << 20):
                 ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_hash"))
-                data = binary_view(batch.column("bytes"))[0].tobytes()
+                data = binary_view(batch.column("bytes"))[0].tobytes() if whole else b""
                 for runs in batch_runs(batch.column("bytes"), min_len):
                     at = np.flatnonzero((runs.key % rounds == mine) & passes(runs.key))
                     if not len(at):
                         continue
                     first, start, end, doc = runs.first[at], runs.start[at], runs.end[at], runs.doc[at]
-                    strings = [data[a:b] for a, b in zip((first + start).tolist(), (first + end + min_len - 1).tolist(), strict=True)]
-                    columns = (runs.key[at], ids[doc], hashes[doc], start)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(strings, pa.binary())], ["anchor", "_id", "_hash", "start", "string"])
+                    columns = [pa.array(runs.key[at]), pa.array(runs.sid[at]), pa.array(ids[doc])]
+                    if whole:
+                        strings = [data[a:b] for a, b in zip((first + start).tolist(), (first + end + min_len - 1).tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(strings, pa.binary())], ["anchor", "sid", "_id", "string"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes[doc]), pa.array(start)], ["anchor", "sid", "_id", "_hash", "start"])
 
         return cut
 
     def decide(table: pa.Table) -> pa.Table:
         table = table.sort_by("anchor")
-        strings, lows, anchor = table.column("string").to_pylist(), table.column("lo").to_numpy(), table.column("anchor").to_numpy()
+        strings, (lows, highs, anchor, sid) = table.column("string").to_pylist(), (table.column(c).to_numpy() for c in ("lo", "hi", "anchor", "sid"))
         sizes = np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))
         # anchors have no windows in common: a few at a time keep the arrays small
         cuts = [0]
         for k in [*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(strings)]:
             if sizes[k - 1] - (sizes[cuts[-1] - 1] if cuts[-1] else 0) >= 1 << 16 or k == len(strings):
                 cuts.append(k)
-        least = []
+        found = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            least += packed_minimums(strings[a:b], lows[a:b], min_len)
-        return table.select(["anchor", "sid", "hi"]).append_column("least", pa.array(least, pa.list_(pa.int64())))
+            owner, *run = decision_runs(strings[a:b], lows[a:b], highs[a:b], min_len)
+            found.append((anchor[a:b][owner], sid[a:b][owner], *run))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["anchor", "sid", "a", "b", "least"])
 
     shared = rows.mapInArrow(anchors, "anchor long, lo long, hi long").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     shared = scratch.write(shared.select("anchor"), "anchors")
     sent = spark.sparkContext.broadcast(Filter.of(shared, "anchor", shared.count()))
+
+    def cut(mine: int, whole: bool, kind: str) -> DataFrame:
+        strings = rows.mapInArrow(cutter(mine, whole), kind)
+        return strings.join(shared, "anchor") if sent.value.full else strings
+
     found = None
     for mine in range(rounds):
         # strings are cut from the texts twice, which takes less disk than to keep them
-        strings = rows.mapInArrow(cutter(mine), "anchor long, _id long, _hash long, start long, string binary")
-        if sent.value.full:
-            strings = strings.join(shared, "anchor")
-        strings = strings.withColumns({"sid": F.xxhash64("string"), "n": F.octet_length("string") - (min_len - 1)})
+        strings = cut(mine, True, "anchor long, sid long, _id long, string binary")
         distinct = strings.groupBy("anchor", "sid", "string").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
         distinct = scratch.write(distinct, f"distinct{mine}")
         sizes = distinct.groupBy("anchor").agg(F.sum(F.octet_length("string")).alias("bytes"))
         total, crowded = sizes.agg(F.sum("bytes"), F.count(F.when(F.col("bytes") > hot_bytes, 1))).first()
         tasks = max(1, -(-(total or 0) // task_bytes))
-        kind = "anchor long, sid long, hi long, least array<long>"
-        bucket = lambda column: F.pmod(F.xxhash64(column), F.lit(tasks)).alias("bucket")
+        kind = "anchor long, sid long, a long, b long, least long"
+        bucket = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(tasks)).alias("bucket")
         plain = distinct
         if crowded:
             hot = sizes.where(F.col("bytes") > hot_bytes).select("anchor")
@@ -333,88 +350,86 @@ def repeated_spans(
             windows = distinct.join(hot, "anchor").select(
                 "anchor", "sid", "lo", "hi", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("string") - (min_len - 1)), lambda k: F.substring("string", k, F.lit(min_len)))).alias("at", "window")
             )
+            # two hashes, of 64 bits each, stand for a window
+            place = [F.xxhash64("window"), F.xxhash64(F.lit(1), "window")]
             one = windows.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-            place = F.xxhash64("window")
-            one = one.select(bucket("window"), place.alias("anchor"), place.alias("sid"), F.col("window").alias("string"), "lo", "hi")
+            one = one.select(bucket("window"), place[0].alias("anchor"), place[1].alias("sid"), F.col("window").alias("string"), "lo", "hi")
             one = one.groupBy("bucket").applyInArrow(decide, kind)
             crowd = (
-                windows.withColumn("place", place)
-                .join(one.select(F.col("sid").alias("place"), F.col("least")[0].alias("least")), "place")
-                .groupBy("anchor", "sid", "hi")
-                .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("least"))
+                windows.select("anchor", "sid", "hi", "at", place[0].alias("_a"), place[1].alias("_s"))
+                .join(one.select(F.col("anchor").alias("_a"), F.col("sid").alias("_s"), "least"), ["_a", "_s"])
+                .where("least < hi")
+                .select("anchor", "sid", F.col("at").cast("long").alias("a"), (F.col("at") + 1).cast("long").alias("b"), "least")
             )
         decided = plain.select(bucket("anchor"), "anchor", "sid", "string", "lo", "hi").groupBy("bucket").applyInArrow(decide, kind)
         if crowded:
             decided = decided.unionByName(crowd)
-        decided = scratch.write(decided.where(F.array_min("least") < F.col("hi")).select("anchor", "sid", "least"), f"decided{mine}")
+        decided = scratch.write(decided, f"decided{mine}")
         scratch.drop(f"distinct{mine}")
+        span = F.shiftleft(F.col("start") + F.col("a"), 32) + F.col("start") + F.col("b") + (min_len - 1)
         spans = (
-            strings.select("anchor", "sid", "_id", "_hash", "start", "n")
+            cut(mine, False, "anchor long, sid long, _id long, _hash long, start long")
             .join(decided, ["anchor", "sid"])
-            .where(F.array_min("least") < F.col("_id"))
+            .where("least < _id")
             .groupBy("_id", "_hash")
-            .agg(F.collect_list(F.struct("start", "n", F.transform("least", lambda x: x < F.col("_id")).alias("gone"))).alias("_spans"))
+            .agg(F.collect_set(span).alias("_spans"))
         )
         part = scratch.write(spans, f"spans{mine}")
         found = part if found is None else found.unionByName(part)
         scratch.drop(f"decided{mine}")
     scratch.drop("anchors")
-    # a document's runs are no more than its bytes
+    # a document's spans are no more than its bytes
     return found.groupBy("_id", "_hash").agg(F.flatten(F.collect_list("_spans")).alias("_spans")), scratch
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds _id, the id with null last, and _hash of the text; rows alike in both get the same decisions."""
-    return docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_hash": F.xxhash64(F.col(text_col).cast("string"))})
-
-
-def removed_bytes(size: int, spans: list[dict] | None, min_len: int) -> np.ndarray:
-    """Which bytes of a text go."""
-    edge = np.zeros(size + 1, np.int64)
-    first, last = [], []  # of windows that go, first and last of each unbroken run
-    for span in spans or []:
-        start, n, gone = span["start"], span["n"], span["gone"]
-        if len(gone) < n:  # one decision stands for all
-            if gone[0]:
-                first.append(start)
-                last.append(start + n - 1)
-        else:
-            at = [start + k for k, x in enumerate(gone) if x]
-            first += at
-            last += at
-    np.add.at(edge, np.array(first, np.int64), 1)
-    np.add.at(edge, np.array(last, np.int64) + min_len, -1)
+    """(_row, _id, _hash, _text): the caller's columns in one, the id with null last, the text's hash and
+    the text; rows alike in id and hash get the same decisions."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
+
+
+def removed(bounds: np.ndarray, spans: pa.Array) -> np.ndarray:
+    """Which bytes of a column of texts go; bounds says where each text begins, spans has its list."""
+    counts = pc.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False)
+    values = spans.flatten().to_numpy(zero_copy_only=False)
+    base, size = np.repeat(bounds[:-1], counts), int(bounds[-1]) + 1
+    edge = np.bincount(base + (values >> 32), minlength=size) - np.bincount(base + (values & 0xFFFFFFFF), minlength=size)
     return np.cumsum(edge[:-1]) > 0
 
 
+def kept_bytes(data: np.ndarray, bounds: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of a column of texts, and where each of them begins in it."""
+    before = np.concatenate([[0], np.cumsum(~gone)])
+    return data[~gone], before[bounds]
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, **options: int) -> DataFrame:
     """The columns of docs with repeated strings cut out of the text.
 
     Every byte goes that lies in min_len bytes which also start in a document of a smaller id, judged
     on the input. A character goes only with all its bytes, so the text stays valid. Rows of null text
-    stay as they are; a text may become empty. Options: see repeated_spans.
+    stay as they are; a text may become empty. Repeated rows are all cut alike, an empty table gives an
+    empty one, and columns may have any name. Options: see repeated_spans.
     """
     spans, _ = repeated_spans(docs, id_col, text_col, min_len, **options)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                if found:
-                    data = np.frombuffer(text.encode(), np.uint8)
-                    gone = removed_bytes(len(data), found, min_len)
-                    begins = np.flatnonzero((data & 0xC0) != 0x80)
-                    whole = np.minimum.reduceat(gone, begins)
-                    gone = np.repeat(whole, np.diff(np.concatenate([begins, [len(data)]])))
-                    text = data[~gone].tobytes().decode()
-                texts.append(text)
-            columns = batch.columns[: len(names)]
-            columns[at] = pa.array(texts, pa.string())
+        for batch in slices(batches, "bytes", 2 << 20):
+            data, bounds = binary_view(batch.column("bytes"))
+            gone = removed(bounds, batch.column("_spans"))
+            if len(data):
+                begins = np.flatnonzero((data & 0xC0) != 0x80)
+                gone = np.repeat(np.minimum.reduceat(gone, begins), np.diff(np.append(begins, len(data))))
+            left, ends = kept_bytes(data, bounds, gone)
+            columns = batch.column("_row").flatten()
+            text = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(left)])
+            columns[at] = pc.if_else(columns[at].is_null(), pa.scalar(None, pa.string()), text)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     joined = keyed(docs, id_col, text_col).join(spans, ["_id", "_hash"], "left")
-    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
+    return joined.select("_row", F.coalesce("_text", F.lit("")).cast("binary").alias("bytes"), "_spans").mapInArrow(cut, docs.schema)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,19 +437,20 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, _ = repeated_spans(docs, min_len=min_len)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for text, found in zip(batch.column("bytes").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                gone = removed_bytes(len(text), found, min_len) if found else np.zeros(0, bool)
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if found else text
-                begins = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
-                for column, value in zip(out, (len(text), int(gone.sum()), begins, hashlib.sha256(kept).hexdigest()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
+        for batch in slices(batches, "bytes", 2 << 20):
+            data, bounds = binary_view(batch.column("bytes"))
+            gone = removed(bounds, batch.column("_spans"))
+            left, ends = kept_bytes(data, bounds, gone)
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            inner = bounds[:-1][np.diff(bounds) > 0]
+            opens[inner] = gone[inner]
+            n_spans = np.diff(np.concatenate([[0], np.cumsum(opens)])[bounds])
+            sizes, kept, ends = np.diff(bounds), left.tobytes(), ends.tolist()
+            hashes = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            columns = [batch.column("doc_id"), pa.array(sizes), pa.array(sizes - np.diff(ends)), pa.array(n_spans), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = keyed(docs, "doc_id", "text").join(spans, ["_id", "_hash"], "left")
-    picked = joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), "_spans")
+    picked = joined.select(F.col("_row.doc_id").cast("long").alias("doc_id"), F.coalesce("_text", F.lit("")).cast("binary").alias("bytes"), "_spans")
     return picked.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

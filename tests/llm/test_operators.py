@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -133,11 +134,11 @@ def brute_removal(rows, size):
 def test_substrings(spark, docs, empty, tmp_path, hot):
     spans, _ = substrings.repeated_spans(docs, hot_bytes=hot, task_bytes=500)
     by = {(r["_id"], r["_hash"]): r["_spans"] for r in spans.collect()}
-    keys = substrings.keyed(docs, "doc_id", "text").select("doc_id", "text", "_id", "_hash").collect()
+    keys = substrings.keyed(docs, "doc_id", "text").select("_row.doc_id", "_text", "_id", "_hash").collect()
     found = []
     for r in keys:
-        b = (r["text"] or "").encode()
-        gone = substrings.removed_bytes(len(b), by.get((r["_id"], r["_hash"])), 50)
+        b = (r["_text"] or "").encode()
+        gone = substrings.removed(np.array([0, len(b)]), pa.array([by.get((r["_id"], r["_hash"]))], pa.list_(pa.int64())))
         found.append((r["doc_id"], hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest(), int(gone.sum())))
     assert ordered(found) == ordered(brute_removal(ROWS, 50))
     if hot > 60:
@@ -152,6 +153,47 @@ def test_cuts_keep_whole_characters(spark):
     assert cut == {1: "é" * 40 + "x", 2: "abü", 3: None}
 
 
+@pytest.mark.parametrize("full", [False, True])
+def test_blocks_and_repeated_rows(spark, monkeypatch, full):
+    """Texts that cross the blocks, a filter so full that the exact join follows, and equal rows of no id."""
+    build = substrings.Filter.of.__func__
+
+    def of(cls, *args):
+        made = build(cls, *args)
+        made.full = full
+        return made
+
+    monkeypatch.setattr(substrings.Filter, "of", classmethod(of))
+    long = " ".join(str(k * k) for k in range(30_000 if full else 70_000))
+    edge = substrings.BLOCK
+    rows = [(1, long), (2, long[100:1500] + " and so on"), (3, long[edge - 300 : edge + 300] + long[700:900])] + [(None, "y" + long[30:200])] * 60
+    spans, _ = substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    by = {(r["_id"], r["_hash"]): r["_spans"] for r in spans.collect()}
+    assert len(by) == 3 and max(map(len, by.values())) < 300
+    found = []
+    for r in substrings.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect():
+        b = r["_text"].encode()
+        gone = substrings.removed(np.array([0, len(b)]), pa.array([by.get((r["_id"], r["_hash"]))], pa.list_(pa.int64())))
+        found.append((r["_row"]["doc_id"], hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest(), int(gone.sum())))
+    assert ordered(found) == ordered(brute_removal(rows, 50))
+
+
+def test_cuts_leave_columns_of_any_name(spark):
+    rows = [(1, PASSAGE, "a", 1, [2], "r"), (2, PASSAGE, "b", 3, [4], "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _hash int, _spans array<int>, _row string")
+    cut = substrings.dedup_substrings(docs)
+    assert cut.columns == docs.columns and ordered(map(tuple, cut.collect())) == [rows[0], (2, "", *rows[1][2:])]
+
+
+def test_registered_query_counts_spans(spark, tmp_path):
+    rows = [(1, PASSAGE + "!" + PASSAGE[::-1]), (2, "x" + PASSAGE + "#" + PASSAGE[::-1] + "y"), (3, PASSAGE), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in substrings.op3_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    n = len(PASSAGE)
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"]) for i, r in found.items()} == {1: (2 * n + 1, 0, 0), 2: (2 * n + 3, 2 * n, 2), 3: (n, n, 1), 4: (0, 0, 0), 5: (0, 0, 0)}
+    assert found[2]["kept_sha256"] == hashlib.sha256(b"x#y").hexdigest()
+
+
 def test_window_minimums_on_random_strings():
     rng = np.random.default_rng(3)
     strings = [bytes(rng.integers(97, 99, rng.integers(30, 60)).astype(np.uint8)) for _ in range(40)] + [b"\0" * 40, b"\0" * 41]
