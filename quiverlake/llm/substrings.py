@@ -31,7 +31,8 @@ from .common import Scratch, read_table, slices
 
 LAST = (1 << 63) - 1
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-ANCHOR = 24
+#: Bytes of the short strings that anchors are chosen from; see anchor_hashes.
+ANCHOR = 20
 #: Symbols that the first sort of suffixes compares; nine bits each fit a 64-bit number.
 FIRST = 7
 #: Windows are looked at in blocks of so many; a place in a block and its window fits 20 bits.
@@ -57,13 +58,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def anchor_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 24 bytes that start at each place."""
+    """A 64-bit hash of the 20 bytes that start at each place."""
     h = data.astype(np.uint64) + np.uint64(1)
     by = {1: h}
     for k, odd in zip((1, 2, 4, 8), ODD, strict=False):
         h = h[:-k] * odd + h[k:]
         by[2 * k] = h
-    return mixed(by[16][:-8] * ODD[4] + by[8][16:])
+    return mixed(by[16][:-4] * ODD[4] + by[4][16:])
 
 
 def smallest_ahead(h: np.ndarray, width: int) -> np.ndarray:
@@ -80,10 +81,10 @@ class Runs:
 
     key is the anchor's hash, doc the row; start and end bound the windows' first bytes in the text, and
     first says where the text's bytes begin in the column. sid is a 64-bit hash of the run's string: the
-    sum of its 24-byte strings' hashes, each mixed with the one behind it, so equal strings have it equal.
+    sum of its 20-byte strings' hashes, each mixed with the one behind it, so equal strings have it equal.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, last: int, min_len: int):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, last: int, min_len: int, strings: bool):
         base, data = first, data[first : last + min_len - 1]
         h = anchor_hashes(data)
         place = np.uint64((1 << 20) - 1)
@@ -100,17 +101,19 @@ class Runs:
         self.doc = np.searchsorted(bounds, starts + base, "right") - 1
         self.first = bounds[self.doc]
         self.start, self.end = starts + base - self.first, ends + base - self.first
+        if not strings:
+            return
         sums = np.zeros(len(h), np.uint64)
         np.cumsum(mixed(h[:-1] * ODD[1] + h[1:]), out=sums[1:])
         whole = sums[ends + min_len - 1 - ANCHOR] - sums[starts]
         self.sid = mixed(whole * ODD[2] + h[starts] + (ends - starts).astype(np.uint64) * ODD[3]).view(np.int64)
 
 
-def batch_runs(texts: pa.Array, min_len: int) -> Iterator[Runs]:
-    """Runs of a column, block by block; blocks may cut a long text, and then a run."""
+def batch_runs(texts: pa.Array, min_len: int, strings: bool = True) -> Iterator[Runs]:
+    """Runs of a column, block by block; blocks may cut a long text, and then a run. sid only if strings are asked for."""
     data, bounds = binary_view(texts)
     for first in range(0, len(data) - min_len + 1, BLOCK):
-        runs = Runs(data, bounds, first, min(first + BLOCK, len(data) - min_len + 1), min_len)
+        runs = Runs(data, bounds, first, min(first + BLOCK, len(data) - min_len + 1), min_len, strings)
         if len(runs.key):
             yield runs
 
@@ -154,60 +157,74 @@ def suffix_order(letters: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     n = len(letters)
     symbols = letters.astype(np.int64) + 1
     symbols[ends] = 0
-    key, alive, done = symbols.copy(), symbols > 0, ~(symbols > 0)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # letters ahead of the string's end
+    key = symbols.copy()
     for d in range(1, FIRST):
         key <<= 9
-        key[: n - d] += np.where(alive[: n - d], symbols[d:], 0)
-        alive[: n - d] &= symbols[d:] > 0
-        alive[n - d :] = False
-    done = ~alive
-    order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
+        key[: n - d] += symbols[d:]
+    ended = left < FIRST
+    short = np.flatnonzero(ended)
+    behind = 9 * (FIRST - 1 - left[short])  # bits of what stands behind the end, which count for nothing
+    key[short] = key[short] >> behind << behind
+    order = np.argsort(key)
     begins = np.ones(n, bool)  # where a group of ties begins; a suffix that has ended ties with none
-    begins[1:] = (sorted_[1:] != sorted_[:-1]) | done[order[1:]] | done[order[:-1]]
+    closed = ended[order]
+    at, short = np.flatnonzero(closed), np.sort(order[closed])
+    order[at] = short[np.argsort(key[short], kind="stable")]
+    sorted_ = key[order]
+    begins[1:] = (sorted_[1:] != sorted_[:-1]) | closed[1:] | closed[:-1]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-    step, intervals = FIRST, begins.copy()
-    while True:
-        tied = ~begins
-        tied[:-1] |= ~begins[1:]
-        slots = np.flatnonzero(tied)
-        if not len(slots):
-            return order, rank, intervals
+    step, intervals = FIRST, begins
+    tied = ~begins
+    tied[:-1] |= ~begins[1:]
+    slots = np.flatnonzero(tied)
+    while len(slots):
         places = order[slots]
         key = rank[places] * np.int64(n) + rank[places + step]
-        o = np.argsort(key, kind="stable")
+        o = np.argsort(key)
         key, places = key[o], places[o]
         order[slots] = places
         new = np.ones(len(slots), bool)
         new[1:] = key[1:] != key[:-1]
-        begins[slots] = new
         rank[places] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
         step *= 2
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        slots = slots[tied]
+    return order, rank, intervals
 
 
 def prefix_intervals(letters: np.ndarray, ends: np.ndarray, order: np.ndarray, rank: np.ndarray, bound: np.ndarray, min_len: int) -> np.ndarray:
     """Marks, in suffix order, where an interval of suffixes that share min_len letters or more begins.
 
     Works on the Burrows-Wheeler transform, from the intervals of FIRST letters in `bound`. Each step
-    extends all intervals backward by every letter: two neighbours in the extended order stay together
-    if the suffixes they extend lie in one interval. A boundary found in step v is a longest common
-    prefix of v; there it ends, as no later step can find a smaller one.
+    extends the boundaries found in the last one backward by every letter: the two rows around a
+    boundary, of those that the letter stands before, come apart too, unless they have done so before. A
+    boundary found in step v is a longest common prefix of v. Most letters stand before both rows next to
+    the boundary: `follow` has what these extend to. Pairs further apart are looked up among the
+    step's boundaries.
     """
-    ended = np.zeros(len(letters), bool)
+    n = len(letters)
+    ended = np.zeros(n, bool)
     ended[ends] = True
-    transform, closes = letters[order - 1], ended[order - 1]
-    rows = np.flatnonzero(~closes)
+    transform, rows = letters[order - 1], np.flatnonzero(~ended[order - 1])
     # the suffix that each one extends: symbols that end strings come first, then the letters in order
-    extends = np.concatenate([rank[(ends + 1) % len(letters)], rows[np.argsort(transform[rows], kind="stable")]])
+    extends = np.concatenate([rank[(ends + 1) % n], rows[np.argsort(transform[rows], kind="stable")]])
     open_ = np.flatnonzero(~bound)
-    above, below = extends[open_ - 1].astype(np.int32), extends[open_].astype(np.int32)
+    above, below = extends[open_ - 1], extends[open_]
+    near = above + 1 == below
+    follow = np.full(n, -1)
+    follow[below[near]] = open_[near]
+    open_, above, below = open_[~near], above[~near], below[~near]
+    fresh = np.flatnonzero(bound)
     for _ in range(FIRST, min_len):
-        interval = np.cumsum(bound, dtype=np.int32)
-        apart = interval[above] != interval[below]
-        if not apart.any():
+        found = follow[fresh]
+        apart = np.searchsorted(fresh, above, "right") < np.searchsorted(fresh, below, "right")
+        fresh = np.sort(np.concatenate([found[found >= 0], open_[apart]]))
+        if not len(fresh):
             break
-        bound[open_[apart]] = True
+        bound[fresh] = True
         open_, above, below = open_[~apart], above[~apart], below[~apart]
     return bound
 
@@ -280,7 +297,7 @@ def repeated_spans(
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", 2 << 20):
             ids = batch.column("_id").to_numpy(zero_copy_only=False)
-            for runs in batch_runs(batch.column("bytes"), min_len):
+            for runs in batch_runs(batch.column("bytes"), min_len, strings=False):
                 order = np.argsort(runs.key)
                 key, own = runs.key[order], ids[runs.doc[order]]
                 starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
