@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,14 @@ def to_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def trimmed() -> None:
+    """Gives memory that Arrow and numpy have freed back to the system, as Python workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that `column` holds about max_bytes in each; a longer row stands alone."""
     for batch in batches:
@@ -62,6 +71,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             held += n + 1
         if start < len(sizes):
             yield batch.slice(start)
+    trimmed()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.Table]:

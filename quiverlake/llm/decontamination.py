@@ -1,9 +1,12 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-The training text is cut into shards of whole documents. Each shard's words become numbers, its
-suffixes are sorted, and every suffix of every benchmark item is looked up by binary search. That
-gives the places of each verbatim run and its greatest length. The benchmark goes to the shards in
-blocks of bounded size, so it may be as large as it likes.
+The training text is cut into shards of whole documents. A shard's words become numbers and all its
+suffixes are sorted. Every suffix of every benchmark item is looked up by binary search, word by word:
+the range of training suffixes that share its first words narrows until it is empty, which gives the
+places of each verbatim run and its greatest length. All test suffixes of a block take each step
+together. The benchmark comes in blocks of bounded size; a pass over the documents holds blocks of
+`held_bytes` at most, and a larger benchmark takes further passes, in which each row brings what was
+found before.
 """
 
 from __future__ import annotations
@@ -13,12 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, gathered, read_table, to_bytes
+from .common import ALNUM_TABLE, Scratch, gathered, read_table, to_bytes
 
-MATCHES = "row long, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,length:long,item:string,item_start:long>>, longest long"
+SPAN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("item", pa.string()), ("item_start", pa.int64())])
+MATCHES = "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:long,length:long,item:string,item_start:long>>, longest long"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -27,164 +32,189 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Block:
-    """Part of the benchmark: its items' words as numbers from 1, with a 0 after each item."""
+    """Part of the benchmark: its items' words as numbers, and every suffix of an item that is long enough."""
 
     names: list[str]
-    numbers: dict[bytes, int]
+    words: list[bytes]
     tokens: np.ndarray
-    item: np.ndarray  # of each token
-    starts: np.ndarray  # of each item
-    lengths: np.ndarray
-    window: int
-    pairs: np.ndarray  # sorted keys of the word pairs that occur
+    suffixes: np.ndarray  # where each test suffix starts in tokens
+    item: np.ndarray  # its item,
+    needs: np.ndarray  # the words that a window has,
+    length: np.ndarray  # and all words up to the item's end
+    starts: np.ndarray  # of items in tokens
 
     @classmethod
     def of(cls, rows: list[tuple[str, list[bytes]]], window: int) -> Block:
         numbers: dict[bytes, int] = {}
-        tokens, item, starts, lengths = [], [], [], []
-        for k, (_, words) in enumerate(rows):
-            starts.append(len(tokens))
-            lengths.append(len(words))
-            tokens += [numbers.setdefault(w, len(numbers) + 1) for w in words] + [0]
-            item += [k] * (len(words) + 1)
-        t = np.array(tokens, np.int64)
-        keys = t[:-1] << 32 | t[1:]
-        return cls(
-            [name for name, _ in rows], numbers, t, np.array(item, np.int64), np.array(starts), np.array(lengths), window,
-            np.unique(keys[(t[:-1] > 0) & (t[1:] > 0)]),
-        )
-
-
-def runs_ahead(good: np.ndarray) -> np.ndarray:
-    """For each place, how many places from it on are good without a gap."""
-    n = len(good)
-    stop = np.where(good, n, np.arange(n))
-    return np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n)
+        tokens = np.array([numbers.setdefault(w, len(numbers)) for _, words in rows for w in words], np.int64)
+        sizes = np.array([len(words) for _, words in rows], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        need = np.minimum(sizes, window)
+        count = sizes - need + 1
+        item = np.repeat(np.arange(len(rows)), count)
+        first = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        return cls([name for name, _ in rows], list(numbers), tokens, starts[item] + first, item, need[item], sizes[item] - first, starts)
 
 
 class SuffixArray:
-    """Sorted suffixes of a sequence of numbers, those at `places` alone; each is cut at a 0 or after `depth`."""
-
-    def __init__(self, tokens: np.ndarray, places: np.ndarray, depth: int):
-        self.tokens = np.concatenate([tokens, np.zeros(depth + 1, np.int64)])
-        order = places
-        if len(places):
-            # the last words first, as each sort keeps the order before it
-            order = places[np.lexsort([self.tokens[places + d] for d in range(depth - 1, -1, -1)])]
-        self.order, self.depth = order, depth
-
-    def bounds(self, query: np.ndarray) -> tuple[int, int]:
-        """The range of suffixes that start with the query, by one binary search for each word."""
-        lo, hi = 0, len(self.order)
-        for d, word in enumerate(query):
-            part = self.tokens[self.order[lo:hi] + d] if hi - lo <= 64 else None
-            if part is not None:
-                lo, hi = lo + int(np.searchsorted(part, word, "left")), lo + int(np.searchsorted(part, word, "right"))
-            else:
-                lo, hi = self.edge(lo, hi, d, word, False), self.edge(lo, hi, d, word, True)
-            if lo == hi:
-                break
-        return lo, hi
-
-    def edge(self, lo: int, hi: int, d: int, word: int, after: bool) -> int:
-        while lo < hi:
-            mid = (lo + hi) // 2
-            here = self.tokens[self.order[mid] + d]
-            if here < word or after and here == word:
-                lo = mid + 1
-            else:
-                hi = mid
+    """All suffixes of a shard in order. Words are numbered from `ends`; each document ends in a number of its own below that."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        numbers: dict[bytes, int] = {}
+        ends = len(texts)
+        flat: list[int] = []
+        for k, words in enumerate(texts):
+            flat += [numbers.setdefault(w, ends + len(numbers)) for w in words]
+            flat.append(k)
+        self.numbers, self.tokens = numbers, np.array(flat, np.int64)
+        self.sizes = np.fromiter(map(len, texts), np.int64, ends)
+        self.doc = np.repeat(np.arange(ends), self.sizes + 1)
+        self.firsts = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.order = self.sort()
+        self.heads = self.tokens[self.order]
+
+    def sort(self) -> np.ndarray:
+        """Sorts by as many words as fit a number, then by twice as many, until no two suffixes tie."""
+        tokens, n = self.tokens, len(self.tokens)
+        if not n:
+            return np.zeros(0, np.int64)
+        bits = int(tokens.max() + 1).bit_length()
+        step = max(1, 62 // bits)
+        key = tokens.copy()
+        for d in range(1, step):
+            key <<= bits
+            key[: n - d] += tokens[d:]
+        order, rank = np.arange(n), np.zeros(n, np.int64)
+        slots = np.arange(n)
+        while len(slots):
+            places = order[slots]
+            o = np.argsort(key)
+            key, places = key[o], places[o]
+            order[slots] = places
+            new = np.ones(len(slots), bool)
+            new[1:] = key[1:] != key[:-1]
+            rank[places] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+            tied = ~new
+            tied[:-1] |= ~new[1:]
+            slots = slots[tied]
+            places = order[slots]
+            key = rank[places] * np.int64(n) + rank[np.minimum(places + step, n - 1)]
+            step *= 2
+        return order
+
+    def edge(self, lo: np.ndarray, hi: np.ndarray, depth: int, word: np.ndarray) -> np.ndarray:
+        """Of each range, where the suffixes begin whose word at `depth` is `word` or a later one."""
+        lo, hi = lo.copy(), hi.copy()
+        busy = np.flatnonzero(lo < hi)
+        while len(busy):
+            mid = (lo[busy] + hi[busy]) >> 1
+            below = self.tokens[self.order[mid] + depth] < word[busy]
+            lo[busy[below]] = mid[below] + 1
+            hi[busy[~below]] = mid[~below]
+            busy = busy[lo[busy] < hi[busy]]
         return lo
 
+    def narrow(self, lo: np.ndarray, hi: np.ndarray, depth: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of each range whose suffixes go on with `word`; ranges share `depth` words, none of them an end."""
+        if not depth:
+            return np.searchsorted(self.heads, word, "left"), np.searchsorted(self.heads, word, "right")
+        return self.edge(lo, hi, depth, word), self.edge(lo, hi, depth, word + 1)
 
-def search(shard: list[list[bytes]], block: Block) -> list[tuple[int, int, int, int, int]]:
-    """Verbatim runs as (document, start, length, item, start in the item), of a window or more.
 
-    Each is the longest from its place, and no run that only continues one found a word earlier is
-    listed again.
-    """
-    get = block.numbers.get
-    sizes = np.fromiter(map(len, shard), np.int64, len(shard))
-    firsts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    tokens = np.zeros(firsts[-1] + 1, np.int64)
-    for words, at in zip(shard, firsts[:-1].tolist(), strict=True):
-        tokens[at : at + len(words)] = [get(w, 0) for w in words]
-    if not tokens.any() or not len(block.tokens):
-        return []
-    # a suffix counts if its words, pair by pair, occur in the benchmark for as long as the shortest
-    # window; no other suffix can hold one
-    least = int(np.minimum(block.window, block.lengths[block.lengths > 0]).min())
-    keys = tokens[:-1] << 32 | tokens[1:]
-    at = np.searchsorted(block.pairs, keys)
-    paired = np.zeros(len(tokens), bool)
-    if len(block.pairs):
-        paired[:-1] = block.pairs[np.minimum(at, len(block.pairs) - 1)] == keys
-    inside = tokens > 0
-    places = np.flatnonzero(inside & (runs_ahead(paired) >= least - 1))
-    if not len(places):
-        return []
-    array = SuffixArray(tokens, places, block.window)
-    doc_of = np.repeat(np.arange(len(shard)), sizes + 1)
-    text = np.concatenate([array.tokens, np.full(1, -1)])
-    found: list[tuple[int, int, int, int, int]] = []
-    first_words = tokens[array.order]
-    for k in np.flatnonzero(block.lengths):
-        n, base = int(block.lengths[k]), int(block.starts[k])
-        need = min(n, block.window)
-        for s in range(n - need + 1):
-            query = block.tokens[base + s : base + s + need]
-            i = np.searchsorted(first_words, query[0])
-            if i == len(first_words) or first_words[i] != query[0]:
-                continue
-            lo, hi = array.bounds(query)
-            for p in array.order[lo:hi].tolist():
-                if s and p and block.tokens[base + s - 1] == tokens[p - 1] and tokens[p - 1]:
-                    continue
-                length = need
-                while s + length < n and text[p + length] == block.tokens[base + s + length]:
-                    length += 1
-                d = int(doc_of[p])
-                found.append((d, int(p - firsts[d]), length, int(k), s))
-    return found
-
-
-def find_matches(docs: DataFrame, block: Block, shard_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document: row, doc_id, n_words, n_hit, items, spans, longest. See find_benchmark_matches."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Found:
+    """What a shard has of a block: the longest run from each place (0: none), a test suffix that has it,
+    and (document, item) pairs as document * items + item."""
+
+    best: np.ndarray
+    source: np.ndarray
+    pairs: np.ndarray
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of all ranges, one range after the other."""
+    n = hi - lo
+    return np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+
+
+def search(array: SuffixArray, block: Block) -> Found | None:
+    """Looks up all suffixes of a block. None if no window occurs."""
+    known = np.array([array.numbers.get(w, -1) for w in block.words], np.int64)
+    tokens = known[block.tokens]
+    alive = np.flatnonzero(tokens[block.suffixes] >= 0) if len(tokens) else np.zeros(0, np.int64)
+    lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), len(array.order))
+    best, source = np.zeros(len(array.tokens), np.int64), np.zeros(len(array.tokens), np.int64)
+    pairs, depth, some = [], 0, False
+    while len(alive):
+        lo, hi = array.narrow(lo, hi, depth, tokens[block.suffixes[alive] + depth])
+        depth += 1
+        keep = lo < hi
+        alive, lo, hi = alive[keep], lo[keep], hi[keep]
+        whole = np.flatnonzero(block.needs[alive] <= depth)
+        if len(whole):
+            # test suffixes alike so far have one range; it counts once
+            _, one = np.unique(lo[whole], return_index=True)
+            one = whole[one]
+            places = array.order[spread(lo[one], hi[one])]
+            best[places], source[places] = depth, np.repeat(alive[one], hi[one] - lo[one])
+            some = True
+        just = np.flatnonzero(block.needs[alive] == depth)
+        if len(just):
+            key = np.unique(lo[just] * np.int64(len(block.names)) + block.item[alive[just]])
+            at, item = np.divmod(key, len(block.names))
+            upto = dict(zip(lo[just].tolist(), hi[just].tolist(), strict=True))
+            ends = np.array([upto[x] for x in at.tolist()], np.int64)
+            docs = array.doc[array.order[spread(at, ends)]]
+            pairs.append(np.unique(docs * np.int64(len(block.names)) + np.repeat(item, ends - at)))
+        keep = block.length[alive] > depth
+        alive, lo, hi = alive[keep], lo[keep], hi[keep]
+    return Found(best, source, np.unique(np.concatenate(pairs))) if some else None
+
+
+def covered(spans: list[dict]) -> int:
+    """Words inside spans."""
+    count = reach = 0
+    for x in sorted(spans, key=lambda x: x["start"]):
+        end = x["start"] + x["length"]
+        count += max(0, end - max(reach, x["start"]))
+        reach = max(reach, end)
+    return count
+
+
+def match_rows(table: pa.Table, blocks: list[Broadcast]) -> pa.RecordBatch:
+    """The rows of MATCHES for one shard; items and spans that the rows bring along are kept."""
+    array = SuffixArray([words_of(x) for x in table.column("text").to_pylist()])
+    before = "spans" in table.column_names
+    spans: list[list[dict]] = [x or [] for x in table.column("spans").to_pylist()] if before else [[] for _ in range(table.num_rows)]
+    items: list[set[str]] = [set(x or ()) for x in table.column("items").to_pylist()] if before else [set() for _ in range(table.num_rows)]
+    for sent in blocks:
         block = sent.value
-        for table in gathered(batches, "text", shard_bytes):
-            shard = [words_of(x) for x in table.column("text").to_pylist()]
-            spans: list[list[dict]] = [[] for _ in shard]
-            for d, start, length, k, s in search(shard, block):
-                spans[d].append({"start": start, "length": length, "item": block.names[k], "item_start": s})
-            hits = []
-            for found in spans:
-                covered, reach = 0, 0
-                for x in sorted(found, key=lambda x: x["start"]):
-                    end = x["start"] + x["length"]
-                    covered += max(0, end - max(reach, x["start"]))
-                    reach = max(reach, end)
-                hits.append(covered)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    table.column("row").combine_chunks(),
-                    table.column("doc_id").combine_chunks(),
-                    pa.array([len(x) for x in shard], pa.int64()),
-                    pa.array(hits, pa.int64()),
-                    pa.array([sorted({x["item"] for x in found}) for found in spans], pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("item", pa.string()), ("item_start", pa.int64())]))),
-                    pa.array([max((x["length"] for x in found), default=0) for found in spans], pa.int64()),
-                ],
-                ["row", "doc_id", "n_words", "n_hit", "items", "spans", "longest"],
-            )
-
-    return docs.mapInArrow(scan, MATCHES)
+        found = search(array, block)
+        if found is None:
+            continue
+        # a run that only continues the one found a word earlier is not listed again
+        goes_on = np.zeros(len(found.best), bool)
+        goes_on[1:] = (found.best[1:] > 0) & (found.best[:-1] == found.best[1:] + 1)
+        for p in np.flatnonzero((found.best > 0) & ~goes_on).tolist():
+            d, q = int(array.doc[p]), int(found.source[p])
+            k = int(block.item[q])
+            spans[d].append({"start": p - int(array.firsts[d]), "length": int(found.best[p]), "item": block.names[k], "item_start": int(block.suffixes[q] - block.starts[k])})
+        for key in found.pairs.tolist():
+            items[key // len(block.names)].add(block.names[key % len(block.names)])
+    columns = [
+        table.column("doc_id").combine_chunks(),
+        table.column("text").combine_chunks(),
+        pa.array(array.sizes),
+        pa.array([covered(x) for x in spans], pa.int64()),
+        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+        pa.array([sorted(x, key=lambda y: (y["start"], -y["length"], y["item"])) for x in spans], pa.list_(SPAN)),
+        pa.array([max((y["length"] for y in x), default=0) for x in spans], pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_words", "n_hit", "items", "spans", "longest"])
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_bytes: int) -> Iterator[Block]:
-    """Reads the benchmark partition by partition, as blocks of about max_bytes of text."""
+    """Reads the benchmark partition by partition, as blocks of about max_bytes of text; an item is never cut."""
     picked = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("text"))
     rows, size = [], 0
     for r in picked.toLocalIterator():
@@ -198,6 +228,19 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: i
     yield Block.of(rows, window)
 
 
+def passes(spark: SparkSession, blocks: Iterator[Block], held: int) -> Iterator[list[Broadcast]]:
+    """Blocks, broadcast, `held` at a time; those of a pass leave the driver and the executors after it."""
+    group: list[Broadcast] = []
+    for block in blocks:
+        if len(group) == held:
+            yield group
+            for sent in group:
+                sent.unpersist()
+            group = []
+        group.append(spark.sparkContext.broadcast(block))
+    yield group
+
+
 def find_benchmark_matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -206,63 +249,70 @@ def find_benchmark_matches(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 8 << 20,
+    held_bytes: int = 64 << 20,
+    shard_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Every document with its verbatim runs of `window` or more benchmark words.
 
     A benchmark item of fewer words, but not none, is one window. Columns: doc_id, n_words, n_hit
     (words inside a run), items (distinct ids as strings, sorted), spans (start and length in words,
-    item, start in the item; each as long as it can be) and longest. One row per row of docs.
+    item, start in the item; each as long as it can be, with one of the items that go so far) and
+    longest. One row per row of docs, in one pass and without a shuffle for each `held_bytes` of
+    benchmark text.
 
     Null text has no words; a null item id counts as the id "". Null and repeated doc_ids keep their
-    rows. An empty benchmark leaves all documents clean. Other columns are not looked at.
+    rows. A very long text makes a shard of its own. An empty table gives no rows, an empty benchmark
+    leaves all documents clean. Other columns are not looked at.
     """
-    picked = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    )
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontamination")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    found = find_matches(picked, next(blocks))
-    more = None
-    for block in blocks:
-        part = find_matches(picked, block).where("n_hit > 0")
-        more = part if more is None else more.unionByName(part)
-    if more is None:
-        return found.drop("row")
-    both = found.unionByName(more).groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.max("longest").alias("longest"),
-    )
-    reach = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
-        lambda a, x: F.struct(
-            (a["n"] + F.greatest(F.lit(0).cast("long"), x["start"] + x["length"] - F.greatest(a["to"], x["start"]))).alias("n"),
-            F.greatest(a["to"], x["start"] + x["length"]).alias("to"),
-        ),
-    )
-    return both.withColumn("n_hit", reach["n"]).select("doc_id", "n_words", "n_hit", "items", "spans", "longest")
+    found = None
+    for k, group in enumerate(passes(spark, blocks, max(1, held_bytes // block_bytes))):
+        if found is not None:  # what the last pass found travels with the rows
+            rows = scratch.write(found, f"pass{k}")
 
+        def scan(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
+            for table in gathered(batches, "text", shard_bytes):
+                yield match_rows(table, group)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs that hold no benchmark window, with all their columns. One pass, no shuffle.
+        found = rows.mapInArrow(scan, MATCHES)
+    return found.drop("text")
 
-    Options as for find_benchmark_matches; rows of null text stay.
+
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 10,
+    block_bytes: int = 8 << 20,
+    held_bytes: int = 64 << 20,
+    shard_bytes: int = 2 << 20,
+) -> DataFrame:
+    """The rows of docs that hold no benchmark window, with all their columns, whatever their names. No shuffle.
+
+    Options as for find_benchmark_matches. Rows of null text stay, repeated rows stay or go together, and
+    an empty table stays empty.
     """
-    text_col = str(options.get("text_col", "text"))
-    window, size = int(options.get("window", 10)), int(options.get("block_bytes", 16 << 20))
-    kept = docs
-    for block in benchmark_blocks(benchmark, str(options.get("item_col", "item_id")), str(options.get("item_text_col", "text")), window, size):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for table in gathered(batches, text_col, 16 << 20):
-                hit = {x[0] for x in search([words_of(x) for x in table.column(text_col).to_pylist()], sent.value)}
-                yield from table.filter(pa.array([i not in hit for i in range(table.num_rows)])).combine_chunks().to_batches()
-
-        kept = kept.mapInArrow(clean, docs.schema)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontamination")
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    at, kept = docs.columns.index(text_col), None
+    for k, group in enumerate(passes(spark, blocks, max(1, held_bytes // block_bytes))):
+        source = docs if kept is None else scratch.write(kept, f"pass{k}")
+
+        def clean(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
+            for table in gathered(batches, text_col, shard_bytes):
+                array, clear = SuffixArray([words_of(x) for x in table.column(at).to_pylist()]), np.ones(table.num_rows, bool)
+                for sent in group:
+                    found = search(array, sent.value)
+                    if found is not None:
+                        clear[array.doc[found.best > 0]] = False
+                yield from table.filter(pa.array(clear)).combine_chunks().to_batches()
+
+        kept = source.mapInArrow(clean, docs.schema)
     return kept
 
 

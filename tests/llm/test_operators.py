@@ -411,7 +411,34 @@ def test_quality(docs, empty, spark):
     assert not judged[3]["kept"]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 20])
+def test_suffix_array_against_all_places():
+    rng = np.random.default_rng(8)
+    texts = [[b"abc"[k : k + 1] for k in rng.integers(0, 3, n)] for n in (0, 1, 40, 60, 60)] + [[b"a"] * 50] * 2
+    array = decontamination.SuffixArray(texts)
+    ends = [t + [k] for k, t in enumerate(texts)]
+    suffixes = sorted((tuple(array.numbers.get(w, w) for w in t[i:]), k, i) for k, t in enumerate(ends) for i in range(len(t)))
+    assert [(int(array.doc[p]), int(p - array.firsts[array.doc[p]])) for p in array.order] == [(k, i) for _, k, i in suffixes]
+    items = [("x", texts[3][10:30]), ("y", [b"a"] * 20), ("z", [b"a"] * 20), ("short", [b"b", b"c"]), ("far", [b"d"] * 12)]
+    found = decontamination.search(array, decontamination.Block.of(items, 5))
+    best, pairs = {}, set()
+    for name, words in items:
+        need = min(5, len(words))
+        for s in range(len(words) - need + 1):
+            for k, t in enumerate(texts):
+                for i in range(len(t)):
+                    n = 0
+                    while s + n < len(words) and i + n < len(t) and words[s + n] == t[i + n]:
+                        n += 1
+                    if n >= need:
+                        best[k, i] = max(n, best.get((k, i), 0))
+                        pairs.add((k, name))
+    assert {(int(array.doc[p]), int(p - array.firsts[array.doc[p]])): int(found.best[p]) for p in np.flatnonzero(found.best)} == best
+    assert {(int(x) // 5, items[int(x) % 5][0]) for x in found.pairs} == pairs
+    assert decontamination.search(decontamination.SuffixArray([]), decontamination.Block.of(items, 5)) is None
+    assert decontamination.search(array, decontamination.Block.of([], 5)) is None
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 120])
 def test_decontamination(spark, docs, empty, block_bytes):
     items = [(1, PASSAGE), (2, "Jumps, OVER the lazy"), (3, None), (4, "..."), (5, "one two"), (None, "of its own"), (6, PASSAGE[10:80]), (7, "never seen " * 10)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
@@ -429,9 +456,9 @@ def test_decontamination(spark, docs, empty, block_bytes):
                     hit |= set(range(k, k + len(window)))
                     names |= own
         expected.append((i, len(w), len(hit), sorted(names)))
-    found = decontamination.find_benchmark_matches(docs, benchmark, block_bytes=block_bytes).collect()
+    found = decontamination.find_benchmark_matches(docs, benchmark, block_bytes=block_bytes, held_bytes=240, shard_bytes=900).collect()
     assert ordered((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in found) == ordered(expected)
-    kept = decontamination.decontaminate(docs, benchmark, block_bytes=block_bytes)
+    kept = decontamination.decontaminate(docs, benchmark, block_bytes=block_bytes, held_bytes=240)
     assert kept.columns == docs.columns
     assert ordered(r["doc_id"] for r in kept.collect()) == ordered(i for i, _, n, _ in expected if not n)
     assert decontamination.find_benchmark_matches(empty, benchmark).count() == 0
