@@ -1,20 +1,25 @@
 """Approximate Top-K through hierarchical navigable small-world graphs, one graph for each shard.
 
-A shard is built in one task, in order of `ord`. Its graph is a table: a row for each node, with its
-links on every layer. A search walks all shards' graphs for a block of queries, and a window merges
-their results. With a breadth of all rows every shard is exact, and so is the whole.
+A shard holds a bounded number of rows and is built in one task, in bulk: candidates come from products
+of blocks of vectors. Its graph is a table: a row for each node, with its links on every layer, stored
+once under the shared checkpoint folder. A search walks all shards' graphs for a block of queries, and a
+window merges their results. With a breadth of all rows every shard is exact, and so is the whole.
+Added rows make shards of their own.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from quiverlake.functions.vectors import has_dimension, is_finite
+from quiverlake.sources.shared import shared_folder, shared_path
 
 from .search import RESULT, query_blocks
 
@@ -87,149 +92,169 @@ def layer_levels(count: int, m: int, seed: int) -> list[int]:
     return found
 
 
-class ShardGraph:
-    """One shard's graph. Nodes are numbered by insertion; a candidate is (-score, place of its id, node),
-    so that plain comparison puts better candidates first."""
+LOW = np.iinfo(np.int64).min
 
-    def __init__(self, ids: list[str], vectors: np.ndarray, config: HnswConfig):
-        self.ids, self.config = ids, config
-        self.v = vectors.astype(np.float64)
-        self.sq = np.add.accumulate(self.v * self.v, axis=1)[:, -1] if len(ids) else np.zeros(0)
-        by_id = sorted(range(len(ids)), key=lambda i: ids[i].encode())
-        self.place = [0] * len(ids)
-        for k, i in enumerate(by_id):
-            self.place[i] = k
-        self.links: list[list[list[int]]] = []
-        self.entry, self.top = 0, 0
-
-    def scores(self, q: np.ndarray, q_sq: float, nodes: list[int]) -> list[float]:
-        """Exact scores: sums in dimension order."""
-        dots = np.add.accumulate(self.v[nodes] * q, axis=1)[:, -1]
-        n = self.sq[nodes] * q_sq
-        return np.where(n == 0, 0.0, dots / np.sqrt(np.where(n == 0, 1.0, n))).astype(np.float32).tolist()
 
-    def candidates(self, q: np.ndarray, q_sq: float, nodes: list[int]) -> list[tuple[float, int, int]]:
-        return [(-s, self.place[i], i) for s, i in zip(self.scores(q, q_sq, nodes), nodes, strict=True)] if nodes else []
+class ShardGraph:
+    """One shard's graph: for each layer a matrix of links, a row for each node, filled up with -1.
 
-    def descend(self, q: np.ndarray, q_sq: float, at: tuple[float, int, int], layer: int) -> tuple[float, int, int]:
-        """The node from which no neighbour is better."""
-        while True:
-            best = min([at, *self.candidates(q, q_sq, self.links[at[2]][layer])])
-            if best == at:
-                return at
-            at = best
-
-    def widen(self, q: np.ndarray, q_sq: float, entries: list[tuple[float, int, int]], ef: int, layer: int) -> list[tuple[float, int, int]]:
-        """The ef best nodes found from the entries, best first."""
-        seen = {e[2] for e in entries}
-        ahead = sorted(entries)
-        kept = [(-s, -p, i) for s, p, i in ahead[:ef]]  # worst first
-        heapq.heapify(ahead)
-        heapq.heapify(kept)
-        while ahead:
-            now = heapq.heappop(ahead)
-            if len(kept) == ef and (-kept[0][0], -kept[0][1]) < now[:2]:
-                break
-            fresh = [i for i in self.links[now[2]][layer] if i not in seen]
-            seen.update(fresh)
-            for c in self.candidates(q, q_sq, fresh):
-                if len(kept) < ef:
-                    heapq.heappush(kept, (-c[0], -c[1], c[2]))
-                elif c[:2] < (-kept[0][0], -kept[0][1]):
-                    heapq.heapreplace(kept, (-c[0], -c[1], c[2]))
-                else:
-                    continue
-                heapq.heappush(ahead, c)
-        return sorted((-s, -p, i) for s, p, i in kept)
-
-    def spread(self, found: list[tuple[float, int, int]], limit: int, required: list[int]) -> list[int]:
-        """Up to `limit` links: the required ones, then by rank those nearer to the node than to any link
-        chosen so far, then the rest by rank. Each choice strikes out what it shadows at once."""
-        found = sorted(found)
-        nodes = [c[2] for c in found]
-        own = -np.array([c[0] for c in found], np.float32)
-        chosen, shadowed, spare = list(required), np.zeros(len(found), bool), []
-
-        def choose(i: int) -> None:
-            shadowed[:] |= np.array(self.scores(self.v[i], self.sq[i], nodes), np.float32) >= own
+    Nodes are numbered by order. A node that a query has scored is one number: the score's bits, so
+    turned that numbers compare as scores do, then the id's place from the end, then whether the node's
+    links are still to be followed. The largest number is the best node, ties by id included.
+    """
 
+    def __init__(self, ids: list[str], vectors: np.ndarray, config: HnswConfig, levels: list[int]):
+        self.ids, self.config, self.levels = ids, config, np.array(levels, np.int64)
+        self.v = vectors.astype(np.float64)
+        self.sq = np.add.accumulate(self.v * self.v, axis=1)[:, -1] if len(ids) else np.zeros(0)
+        norm = np.sqrt(self.sq)[:, None] if len(ids) else np.ones((0, 1))
+        self.unit = np.divide(self.v, norm, out=np.zeros_like(self.v), where=norm > 0)
+        self.by_place = np.array(sorted(range(len(ids)), key=lambda i: ids[i].encode()), np.int64)
+        self.place = np.argsort(self.by_place)
+        self.top = int(self.levels.max()) if len(ids) else 0
+        self.entry = int(self.levels.argmax()) if len(ids) else 0
+        self.layers: list[np.ndarray] = []
+
+    def cap(self, layer: int) -> int:
+        return min(self.config.M * (1 if layer else 2), max(len(self.ids), 2))
+
+    def spread(self, own: np.ndarray, nodes: np.ndarray, limit: int, required: list[int]) -> list[int]:
+        """Up to `limit` links of a node with scores `own` to `nodes`: the required ones, then by rank those
+        nearer to the node than to any link chosen so far, then the rest by rank."""
+        order = np.lexsort((self.place[nodes], -own))
+        own, nodes = own[order], nodes[order]
+        between = (self.unit[nodes] @ self.unit[nodes].T).astype(np.float32)
+        shadowed = np.zeros(len(nodes), bool)
+        chosen, spare = list(required), []
         for i in required:
-            choose(i)
-        for k, i in enumerate(nodes):
-            if len(chosen) == limit:
+            shadowed |= (self.unit[nodes] @ self.unit[i]).astype(np.float32) >= own
+        for k, i in enumerate(nodes.tolist()):
+            if len(chosen) >= limit:
                 break
-            if i in chosen:
+            if i in required:
                 continue
             if shadowed[k]:
                 spare.append(i)
             else:
                 chosen.append(i)
-                choose(i)
-        return chosen + spare[: limit - len(chosen)]
-
-    def insert(self, i: int, level: int) -> None:
-        """Links node i, the next in order. On the base layer the order itself stays a chain of links, so
-        that no node is out of reach, however many vectors are alike."""
-        self.links.append([[] for _ in range(level + 1)])
-        if i == 0:
-            self.top = level
-            return
-        q, q_sq, changed = self.v[i], float(self.sq[i]), {}
-        at = self.candidates(q, q_sq, [self.entry])[0]
-        for layer in range(self.top, level, -1):
-            at = self.descend(q, q_sq, at, layer)
-        entries = [at]
-        for layer in range(min(level, self.top), -1, -1):
-            entries = self.widen(q, q_sq, entries, min(self.config.ef_construction, i), layer)
-            own = self.spread(entries, self.config.M, [])
-            if layer == 0 and i - 1 not in own:
-                own.append(i - 1)
-            self.links[i][layer] = own
-            cap = self.config.M * (2 if layer == 0 else 1)
-            for j in own:
-                links = [*self.links[j][layer], i]
-                if len(links) > cap:
-                    chain = [k for k in (j - 1, j + 1) if 0 <= k <= i] if layer == 0 else []
-                    links = self.spread(self.candidates(self.v[j], float(self.sq[j]), links), cap, chain)
-                changed[j, layer] = links
-        for (j, layer), links in changed.items():
-            self.links[j][layer] = links
-        if level > self.top:
-            self.entry, self.top = i, level
-
-    def search(self, query: np.ndarray, k: int, ef: int) -> list[tuple[str, float]]:
-        if not k or not self.ids:
-            return []
-        q = np.asarray(query, np.float32).astype(np.float64)
-        q_sq = float(np.add.accumulate(q * q)[-1])
+                shadowed |= between[k] >= own
+        return chosen + spare[: max(0, limit - len(chosen))]
+
+    def connect(self, layer: int, wave: int = 256) -> np.ndarray:
+        """The links of one layer, laid in three passes.
+
+        First, waves of nodes are scored against all nodes before them in one product, and each picks up
+        to M links among the ef_construction best. Then every link gets its reverse. Last, nodes with more
+        links than the cap pick among those once. On the base layer the order itself is a chain of links
+        that no pick may drop, so that no node is out of reach, however many vectors are alike.
+        """
+        members, m, cap = np.flatnonzero(self.levels >= layer), self.config.M, self.cap(layer)
+        picked: list[list[int]] = [[] for _ in self.ids]
+        for start in range(0, len(members), wave):
+            mine = members[start : start + wave]
+            scores = (self.unit[mine] @ self.unit[members[: start + len(mine)]].T).astype(np.float32)
+            for row, (i, own) in enumerate(zip(mine.tolist(), scores, strict=True)):
+                own = own[: start + row]
+                best = np.argpartition(-own, self.config.ef_construction)[: self.config.ef_construction] if len(own) > self.config.ef_construction else np.arange(len(own))
+                picked[i] = self.spread(own[best], members[best], m, []) if len(best) else []
+        both = [set(x) for x in picked]
+        for i, links in enumerate(picked):
+            for j in links:
+                both[j].add(i)
+        found = np.full((len(self.ids), cap), -1, np.int32)
+        for i in members.tolist():
+            chain = [k for k in (i - 1, i + 1) if 0 <= k < len(self.ids)] if layer == 0 else []
+            links = [*chain, *sorted(both[i].difference(chain))]
+            if len(links) > cap:
+                nodes = np.array(links)
+                links = self.spread((self.unit[nodes] @ self.unit[i]).astype(np.float32), nodes, cap, chain)
+            found[i, : len(links)] = links
+        return found
+
+    def numbers(self, q: np.ndarray, q_sq: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Nodes scored by one query each, as numbers. Scores are exact: sums in dimension order."""
+        dots = np.add.accumulate(self.v[nodes] * q, axis=1)[:, -1]
+        n = self.sq[nodes] * q_sq
+        score = np.where(n == 0, 0.0, dots / np.sqrt(np.where(n == 0, 1.0, n))).astype(np.float32) + np.float32(0)
+        bits = score.view(np.int32).astype(np.int64)
+        turned = np.where(bits < 0, bits ^ 0x7FFFFFFF, bits)
+        return turned << 32 | (len(self.ids) - 1 - self.place[nodes]) << 1 | 1
+
+    def node_of(self, numbers: np.ndarray) -> np.ndarray:
+        return self.by_place[len(self.ids) - 1 - (numbers >> 1 & 0x7FFFFFFF)]
+
+    def beam(self, q: np.ndarray, q_sq: np.ndarray, starts: np.ndarray, ef: int, layer: int) -> np.ndarray:
+        """For each query the ef best nodes found from its start, as numbers in no order; all queries step together.
+
+        In a step, each query follows the links of the best node that it has not followed yet, and is
+        done once its ef best are all followed.
+        """
+        links, rows = self.layers[layer], np.arange(len(q))
+        seen = np.zeros((len(q), len(self.ids)), bool)
+        seen[rows, starts] = True
+        kept = np.full((len(q), ef), LOW)
+        kept[:, 0] = self.numbers(q, q_sq, starts)
+        while True:
+            ahead = np.where(kept & 1 > 0, kept, LOW)
+            at = ahead.argmax(axis=1)
+            busy = np.flatnonzero(ahead[rows, at] != LOW)
+            if not len(busy):
+                return kept
+            now = kept[busy, at[busy]]
+            kept[busy, at[busy]] = now & ~1
+            to = links[self.node_of(now)]
+            fresh = (to >= 0) & ~seen[busy[:, None], to]
+            row, column = np.nonzero(fresh)
+            if len(row):
+                nodes, asks = to[row, column], busy[row]
+                seen[asks, nodes] = True
+                found = np.full(to.shape, LOW)
+                found[row, column] = self.numbers(q[asks], q_sq[asks], nodes)
+                kept[busy] = np.partition(np.concatenate([kept[busy], found], axis=1), to.shape[1], axis=1)[:, to.shape[1] :]
+
+    def search(self, queries: np.ndarray, k: int, ef: int, cells: int = 1 << 22) -> Iterator[tuple[int, list[tuple[str, float]]]]:
+        """(query's number, [(id, score), ...], best first); `cells` bounds queries at a time times rows."""
         count = min(k, len(self.ids))
-        at = self.candidates(q, q_sq, [self.entry])[0]
-        for layer in range(self.top, 0, -1):
-            at = self.descend(q, q_sq, at, layer)
-        found = self.widen(q, q_sq, [at], min(len(self.ids), max(count, ef)), 0)
-        return [(self.ids[i], -s) for s, _, i in found[:count]]
+        width = min(len(self.ids), max(count, ef))
+        step = max(1, cells // max(len(self.ids), 1))
+        for first in range(0, len(queries) if count else 0, step):
+            q = np.asarray(queries[first : first + step], np.float32).astype(np.float64)
+            q_sq = np.add.accumulate(q * q, axis=1)[:, -1]
+            at = np.full(len(q), self.entry)
+            for layer in range(self.top, 0, -1):
+                at = self.node_of(self.beam(q, q_sq, at, 1, layer)[:, 0])
+            best = -np.sort(-np.where((found := self.beam(q, q_sq, at, width, 0)) == LOW, LOW + 1, found), axis=1)[:, :count]
+            turned = best >> 32
+            scores = np.where(turned < 0, turned ^ 0x7FFFFFFF, turned).astype(np.int32).view(np.float32)
+            for row, (nodes, own) in enumerate(zip(self.node_of(best).tolist(), scores.tolist(), strict=True)):
+                yield first + row, [(self.ids[i], x) for i, x in zip(nodes, own, strict=True)]
+
+    def links(self) -> list[list[list[int]]]:
+        """Each node's links by layer."""
+        return [[[j for j in self.layers[x][i].tolist() if j >= 0] for x in range(level + 1)] for i, level in enumerate(self.levels.tolist())]
 
     @classmethod
     def build(cls, ids: list[str], vectors: np.ndarray, config: HnswConfig, seed: int) -> ShardGraph:
-        graph = cls(ids, vectors, config)
-        for i, level in enumerate(layer_levels(len(ids), config.M, seed)):
-            graph.insert(i, level)
+        graph = cls(ids, vectors, config, layer_levels(len(ids), config.M, seed))
+        graph.layers = [graph.connect(layer) for layer in range(graph.top + 1)]
         return graph
 
     @classmethod
     def restore(cls, rows: pd.DataFrame, config: HnswConfig) -> ShardGraph:
         rows = rows.sort_values("ord", kind="stable")
-        graph = cls(rows["id"].tolist(), np.stack(rows["values"].to_list()).astype(np.float32), config)
-        graph.links = [[[int(j) for j in layer] for layer in links] for links in rows["links"]]
-        graph.top = max(len(x) for x in graph.links) - 1
-        graph.entry = next(i for i, x in enumerate(graph.links) if len(x) == graph.top + 1)
+        links = rows["links"].tolist()
+        graph = cls(rows["id"].tolist(), np.stack(rows["values"].to_list()).astype(np.float32), config, [len(x) - 1 for x in links])
+        for layer in range(graph.top + 1):
+            found = np.full((len(links), graph.cap(layer)), -1, np.int32)
+            for i, own in enumerate(links):
+                if len(own) > layer:
+                    found[i, : len(own[layer])] = own[layer]
+            graph.layers.append(found)
         return graph
 
 
 def check_rows(vectors: DataFrame, dimension: int) -> None:
     """Raises ValueError for wrong lengths, numbers that are not finite and repeated ids, in this order."""
-    from quiverlake.functions.vectors import has_dimension, is_finite
-
     bad = vectors.agg(
         F.count(F.when(~has_dimension(F.col("values"), dimension), 1)).alias("size"), F.count(F.when(~is_finite(F.col("values")), 1)).alias("finite")
     ).first()
@@ -241,16 +266,16 @@ def check_rows(vectors: DataFrame, dimension: int) -> None:
         raise ValueError("vector ID already exists")
 
 
-def build_graph(vectors: DataFrame, config: HnswConfig, shards: int = 1) -> DataFrame:
-    """The node table of graphs over vectors (ord, id, values). One task holds one shard's rows."""
+def build_graph(vectors: DataFrame, config: HnswConfig, shards: int = 1, first: int = 0) -> DataFrame:
+    """The node table of graphs over vectors (ord, id, values), with shards numbered from `first`. One task holds one shard's rows."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord", kind="stable").reset_index(drop=True)
         shard = int(rows["shard"].iloc[0])
-        graph = ShardGraph.build(rows["id"].tolist(), np.stack(rows["values"].to_list()).astype(np.float32), config, config.seed + (shard if shards > 1 else 0))
-        return rows.assign(level=[len(x) - 1 for x in graph.links], links=graph.links)[["shard", "ord", "id", "values", "level", "links"]]
+        graph = ShardGraph.build(rows["id"].tolist(), np.stack(rows["values"].to_list()).astype(np.float32), config, config.seed + shard)
+        return rows.assign(level=graph.levels, links=graph.links())[["shard", "ord", "id", "values", "level", "links"]]
 
-    rows = vectors.select(F.pmod("ord", F.lit(shards)).cast("int").alias("shard"), F.col("ord").cast("long").alias("ord"), "id", "values")
+    rows = vectors.select((F.pmod("ord", F.lit(shards)) + first).cast("int").alias("shard"), F.col("ord").cast("long").alias("ord"), "id", "values")
     return rows.groupBy("shard").applyInPandas(build, NODES)
 
 
@@ -259,12 +284,19 @@ def walker(config: HnswConfig, ids: np.ndarray, block: np.ndarray, k: int, ef: i
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         graph = ShardGraph.restore(rows, config)
-        out = [(int(i), name, score) for i, q in zip(ids, block, strict=True) for name, score in graph.search(q, k, ef)]
+        out = [(int(ids[i]), name, score) for i, found in graph.search(block, k, ef) for name, score in found]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "score": "float32"})
 
     return walk
 
 
+def stored(nodes: DataFrame) -> DataFrame:
+    """The table, written once to the shared checkpoint folder."""
+    path = shared_path(nodes.sparkSession, "graph")
+    nodes.write.parquet(path)
+    return nodes.sparkSession.read.schema(nodes.schema).parquet(path)
+
+
 class HnswIndex:
     """An approximate index over a table of vectors; immutable but for the default breadth."""
 
@@ -273,10 +305,25 @@ class HnswIndex:
 
     @classmethod
     def from_dataframe(cls, vectors: DataFrame, config: HnswConfig, shards: int | None = None, shard_rows: int = 5000) -> HnswIndex:
-        """Checks and builds. Without `shards`, one for each shard_rows rows."""
+        """Checks, builds and stores. Without `shards`, one for each shard_rows rows."""
         check_rows(vectors, config.dimension)
         shards = shards or max(1, -(-vectors.count() // shard_rows))
-        return cls(build_graph(vectors, config, shards), config, shards)
+        return cls(stored(build_graph(vectors, config, shards)), config, shards)
+
+    def add(self, vectors: DataFrame, shard_rows: int = 5000) -> HnswIndex:
+        """An index with further rows (ord, id, values), in shards of their own; the graphs so far stay as they are."""
+        check_rows(vectors, self.config.dimension)
+        if not vectors.join(self.nodes.select("id"), "id", "left_semi").isEmpty():
+            raise ValueError("vector ID already exists")
+        more = max(1, -(-vectors.count() // shard_rows))
+        nodes = stored(build_graph(vectors, self.config, more, self.shards))
+        return HnswIndex(self.nodes.unionByName(nodes), self.config, self.shards + more)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, config: HnswConfig) -> HnswIndex:
+        """A saved index; config is the one that it was built with."""
+        nodes = spark.read.parquet(path).select(*(F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(NODES)))
+        return cls(nodes, config, (nodes.agg(F.max("shard")).first()[0] or 0) + 1)
 
     def set_ef_search(self, ef: int) -> None:
         if ef <= 0:
@@ -293,9 +340,13 @@ class HnswIndex:
         """(query_id, rank, id, score) for queries (query_id, qvalues)."""
         ef = self.config.ef_search if ef_search is None else ef_search
         config = self.config
-        bad = queries.agg(F.count(F.when(F.size("qvalues") != config.dimension, 1))).first()[0]
-        if bad:
-            raise ValueError(f"{bad} queries do not have {config.dimension} components")
+        bad = queries.agg(
+            F.count(F.when(~has_dimension(F.col("qvalues"), config.dimension), 1)).alias("size"), F.count(F.when(~is_finite(F.col("qvalues")), 1)).alias("finite")
+        ).first()
+        if bad["size"]:
+            raise ValueError(f"{bad['size']} queries do not have {config.dimension} components")
+        if bad["finite"]:
+            raise ValueError(f"{bad['finite']} queries have components that are not finite")
         if ef <= 0:
             raise ValueError("ef_search must be positive")
         found = None
@@ -361,9 +412,7 @@ def reachable(nodes: DataFrame, layer: int = 0, without_chain: bool = False, rou
     """
     spark = nodes.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quiverlake-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     e = edges(nodes).where(F.col("layer") == layer).select("shard", "src", "dst")
     if without_chain:
         e = e.where(F.abs(F.col("src") - F.col("dst")) != 1)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quiverlake.functions.vectors import as_vector, has_dimension, in_fp32_range, is_finite, sq_norm
 from quiverlake.sources import index_file
+from quiverlake.sources.shared import shared_path
 
 from .search import STRATEGIES, check_strategy, topk, topk_batch
 
@@ -134,15 +135,19 @@ class VectorIndex:
             again = again.unionByName(rows.select("id").join(self._rows.select("id"), "id", "left_semi"))
         if twice := again.limit(1).collect():
             raise ValueError(f"vector ID already exists: {twice[0]['id']}")
-        # the order is global: partitions are sorted ranges, and their first numbers follow from their counts
-        ranged = rows.repartitionByRange("_order", "id").sortWithinPartitions("_order", "id").withColumn("p", F.spark_partition_id())
-        numbered = ranged.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("_order", "id")))
-        sizes = {r["p"]: r["count"] for r in numbered.groupBy("p").count().collect()}
+        # the order is global: sorted ranges of ids alone, stored once, get numbers from their ranges' counts
+        ranged = rows.select("_order", "id").repartitionByRange("_order", "id").select("_order", "id", F.spark_partition_id().alias("p"))
+        path = shared_path(self.spark, "order")
+        ranged.write.parquet(path)
+        ranged = self.spark.read.schema(ranged.schema).parquet(path)
+        numbered = ranged.select("id", "p", F.row_number().over(Window.partitionBy("p").orderBy("_order", "id")).alias("k"))
+        sizes = {r["p"]: r["count"] for r in ranged.groupBy("p").count().collect()}
         firsts, total = {}, self._size
         for p in sorted(sizes):
             firsts[p], total = total, total + sizes[p]
         start = self.spark.createDataFrame(list(firsts.items()) or [(0, 0)], "p int, first long")
-        placed = numbered.join(F.broadcast(start), "p").select((F.col("first") + F.col("k") - 1).alias("ord"), "id", "values")
+        numbers = numbered.join(F.broadcast(start), "p").select((F.col("first") + F.col("k") - 1).alias("ord"), "id")
+        placed = rows.select("id", "values").join(numbers, "id").select("ord", "id", "values")
         self._rows = self._rows.unionByName(placed)
         self._size = total
 
@@ -188,7 +193,7 @@ class VectorIndex:
     def _table(self) -> DataFrame:
         self.flush()
         table = self._snapshot if self._snapshot is not None and self._snapshot_size == self._size else self._rows
-        return table.repartition(self.threads) if self.threads > 1 else table
+        return table.coalesce(self.threads) if self.threads > 1 else table  # no shuffle
 
     def search_dataframe(self, query: object, k: int) -> DataFrame:
         vector = as_vector(query, self.dimension)

@@ -112,12 +112,17 @@ def list_matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
 
 
+#: Scores that a task works out at a time: rows of a block times queries.
+SCORES = 1 << 21
+
+
 def local_topk(ids: np.ndarray, queries: np.ndarray, k: int, strategy: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[list[float], list[str]]] = [([], []) for _ in ids]
+        rows = max(1, min(4096, SCORES // len(ids)))
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
                 names = part.column("id").to_pylist()
                 scores = score_block(strategy, list_matrix(part.column("values")), queries)
                 for j, (held, held_ids) in enumerate(kept):

@@ -33,6 +33,57 @@ def graph(data, ids=None, **options):
     return hnsw.ShardGraph.build(ids or [str(i) for i in range(len(data))], data, config, config.seed)
 
 
+def ask(g, q, k, ef):
+    return next((found for _, found in g.search(np.asarray(q)[None, :], k, ef)), [])
+
+
+def slow_search(g, q, k, ef):
+    """A traversal of its own, one node at a time, over plain lists."""
+    links, score = g.links(), lambda i: exact(g.v[i : i + 1].astype(np.float32), [g.ids[i]], np.asarray(q, np.float32), 1)[0][1]
+    better = lambda i: (-score(i), g.ids[i].encode())
+    at = max(range(len(links)), key=lambda i: (len(links[i]), -i))
+    for layer in range(len(links[at]) - 1, -1, -1):
+        width = ef if layer == 0 else 1
+        known, done = {at}, set()
+        while True:
+            top = sorted(known, key=better)[:width]
+            todo = [i for i in top if i not in done]
+            if not todo:
+                break
+            done.add(todo[0])
+            known.update(links[todo[0]][layer])
+        at = top[0]
+    return [(g.ids[i], score(i)) for i in top[:k]]
+
+
+def test_search_takes_the_steps_of_a_plain_traversal():
+    data = grid_vectors(220, 6)
+    g = graph(data[:200], M=4, ef_construction=20)
+    for q in data[200:]:
+        for k, ef in ((1, 1), (5, 10), (10, 40)):
+            assert ask(g, q, k, ef) == slow_search(g, q, k, max(k, ef))
+    many = [found for _, found in g.search(data[200:], 5, 10, cells=600)]  # three queries at a time
+    assert many == [ask(g, q, 5, 10) for q in data[200:]]
+
+
+def test_saved_graphs_and_added_rows(spark, tmp_path):
+    data = grid_vectors(130, 8)
+    rows = [(str(i), v) for i, v in enumerate(data[:120])]
+    config = hnsw.HnswConfig(8, M=4, ef_construction=20)
+    index = hnsw.HnswIndex.from_dataframe(table(spark, rows[:80]), config).add(table(spark, rows[80:]), shard_rows=20)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data[120:])], "query_id long, qvalues array<float>")
+    assert index.shards == 3 and sorted(index.search_batch(queries, 5, 120).collect()) == sorted(topk_batch(table(spark, rows), queries, 5).collect())
+    index.save(str(tmp_path / "graph"))
+    again = hnsw.HnswIndex.load(spark, str(tmp_path / "graph"), config)
+    assert again.shards == 3 and sorted(again.search_batch(queries, 5).collect()) == sorted(index.search_batch(queries, 5).collect())
+    assert {r["n"] for r in hnsw.audit_violations(again.nodes, 4).collect()} == {0}
+    with pytest.raises(ValueError):
+        index.add(table(spark, rows[:1]))
+    for k in (0, 3):
+        with pytest.raises(ValueError):
+            index.search([float("nan")] * 8, k)
+
+
 def exact(data, ids, q, k):
     from quiverlake.operators.search import best_rows, exact_scores
 
@@ -47,30 +98,31 @@ def test_full_breadth_is_exact(dimension):
     g = graph(data[:100], ids, M=2, ef_construction=8)
     for q in data[100:]:
         for k in (1, 10, 100, 101):
-            assert g.search(q, k, 100) == exact(data[:100], ids, q, k)
-    assert len(g.search(data[100], 20, 1)) == 20
+            assert ask(g, q, k, 100) == exact(data[:100], ids, q, k)
+    assert len(ask(g, data[100], 20, 1)) == 20
 
 
 @pytest.mark.parametrize("value", [0.0, 1.0])
 def test_equal_vectors_stay_in_reach(value):
     ids = [str(i) for i in range(99, -1, -1)]
     g = graph(np.full((100, 2), value, np.float32), ids, M=2, ef_construction=4)
-    assert [n for n, _ in g.search(np.ones(2), 1000, 1)] == sorted(ids)
+    assert [n for n, _ in ask(g, np.ones(2), 1000, 1)] == sorted(ids)
 
 
 def test_selection():
     g = graph(np.array([[1, 0], [1, 0.02], [0, 1]], np.float32), ["a", "b", "c"], M=2, ef_construction=8)
-    q = np.array([1.0, 1.0])
-    assert g.spread(g.candidates(q, 2.0, [0, 1, 2]), 2, []) == [1, 2]
+    own = np.array([0.7071, 0.7212, 0.7071], np.float32)  # of (1, 1)
+    assert g.spread(own, np.arange(3), 2, []) == [1, 2]
     g = graph(np.array([[1, 0], [2, 0], [3, 0]], np.float32), ["a", "b", "c"], M=2, ef_construction=8)
-    assert g.spread(g.candidates(np.array([1.0, 0.0]), 1.0, [0, 1, 2]), 3, []) == [0, 1, 2]
+    assert g.spread(np.ones(3, np.float32), np.arange(3), 3, []) == [0, 1, 2]
+    assert g.spread(np.ones(3, np.float32), np.arange(3), 2, [2]) == [2, 0]
 
 
 def test_scaling_by_powers_of_two_changes_nothing():
     data = grid_vectors(60, 8)
     scaled = data * (2.0 ** (np.arange(60) % 9 - 4))[:, None].astype(np.float32)
     a, b = graph(data[:50], M=4, ef_construction=16), graph(scaled[:50].astype(np.float32), M=4, ef_construction=16)
-    assert all(a.search(q, 5, 10) == b.search(q * 8, 5, 10) for q in data[50:])
+    assert all(ask(a, q, 5, 10) == ask(b, q * 8, 5, 10) for q in data[50:])
 
 
 def test_recall_and_audit(spark):
