@@ -220,28 +220,61 @@ def test_perplexity(docs, empty):
     assert perplexity.score_documents(empty, burn_in=0, samples=1).count() == 0
 
 
-def test_model_probabilities_sum_to_one(spark):
-    words = [(w.encode(), n) for w, n in Counter((PASSAGE + " the the fox " * 5).split()).items()] + [(b"", 7), (b"unseen", 0)]
-    counts = spark.createDataFrame(words, "word binary, c long")
-    fitted = perplexity.fit_words(counts, Scratch(spark, "t"), burn_in=1, samples=2).collect()
-    known = sum(10 ** r["p"] for r in fitted if r["c"])
-    unknown = [10 ** r["p"] for r in fitted if not r["c"]]
-    assert known + unknown[0] == pytest.approx(1) and known < 1
-    speller = perplexity.Speller.seat(np.array([5, 300000], np.int64), np.array([9, 4], np.int64), None, np.random.default_rng(1))
-    p = speller.predictive().reshape(-1, perplexity.SYMBOLS)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+def model_of(spark, texts, **options):
+    rows = spark.createDataFrame([(t, True) for t in texts], "text string, learn boolean")
+    counts = Counter(w for t in texts for w in [*space_words(t), ""])
+    top = [b"", *(w.encode() for w, _ in counts.most_common() if w)]
+    return perplexity.fit(rows, top, Scratch(spark, "t"), **options), top, counts
+
+
+def test_model_probabilities_sum_to_one_in_every_context(spark):
+    model, top, counts = model_of(spark, [PASSAGE + " the the fox " * 5, "the lazy dog " * 9, "unseen"], burn_in=1, samples=2)
+    found = {bytes(r["word"]): r for r in model.words.collect()}
+    assert {w.decode(): r["c"] for w, r in found.items()} == dict(counts)
+    numbers, c, log_p = perplexity.frequent_scores(model, top)
+    known = (10.0 ** log_p.astype(float)).sum(axis=0)
+    unigram = np.array([np.frombuffer(r["unigram"], "<f4") for r in found.values()]).sum(axis=0)
+    # what a context leaves to words that training has not met: its back-off times what the unigram leaves
+    assert np.allclose(known + (model.back_off * (1 - unigram)[:, None]).mean(axis=0), 1, atol=1e-4) and (known < 1).all()
+    speller = perplexity.Speller.seat(np.array([5, 300000], np.int64), np.array([9, 4], np.int64), 1)
+    assert np.allclose(speller.predictive().reshape(-1, perplexity.SYMBOLS).sum(1), 1, atol=1e-4)
+
+
+def test_scores_know_the_word_before_and_not_the_partition(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join("red apple" if x else "green leaf" for x in rng.integers(0, 2, 30)) for _ in range(40)] + ["w " * 700]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, "red apple green leaf"), (1001, "apple red leaf green"), (1002, "red zebra"), (1003, "red qqqqq")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({r["doc_id"]: r["score"] for r in perplexity.score_documents(docs.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == many.keys() and all(one[i] == pytest.approx(many[i], abs=1e-9) for i in one)
+    assert one[1000] > one[1001] + 1 and one[1002] != one[1003]
+
+
+def test_rare_words_go_through_postings(spark, monkeypatch):
+    """Words beyond the frequent ones give the same scores by the join, with more than 255 of one in a text."""
+    rows = [(i, f"{PASSAGE} w{i} " + "na " * (300 * (i == 3))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    score = lambda: {r["doc_id"]: (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in perplexity.score_documents(docs).collect()}
+    whole = score()
+    fitted, contexts = perplexity.frequent_scores, perplexity.FREQUENT_WORDS
+    assert contexts > 100
+    monkeypatch.setattr(perplexity, "frequent_scores", lambda model, top: fitted(model, top[:1]))
+    split = score()
+    assert all(split[i] == pytest.approx(whole[i], rel=1e-5) for i in whole) and whole.keys() == split.keys()
 
 
 def test_seating_follows_the_process():
+    """Tables against a sampler of one customer and one dish at a time."""
     rng = np.random.default_rng(5)
-    counts = np.full(4000, 50)
-    weight = np.full(4000, 2.0)
-    mean = perplexity.tables(counts, 0.5, weight, rng).mean()
-    t = np.ones(20000)
-    for n in range(1, 50):
-        t += rng.random(20000) < 2.0 / (n - 0.5 * t + 2.0)
-    assert mean == pytest.approx(t.mean(), rel=0.03)
-    assert perplexity.tables(np.array([0, 1, 1]), 0.5, np.ones(3), rng).tolist() == [0, 1, 1]
+    keys = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    for n, parent in ((50, 0.02), (400, 0.05)):
+        mean = perplexity.tables(np.full(4000, n), 0.5, np.full(4000, 40.0), np.full(4000, parent), keys).mean()
+        t = np.ones(20000)
+        for k in range(1, n):
+            w = (40 + 0.5 * t) * parent
+            t += rng.random(20000) < w / (k - 0.5 * t + w)
+        assert mean == pytest.approx(t.mean(), rel=0.03)
+    assert perplexity.tables(np.array([0, 1, 1]), 0.5, np.ones(3), np.ones(3), keys[:3]).tolist() == [0, 1, 1]
 
 
 def test_language(spark, docs, empty):
