@@ -328,14 +328,23 @@ def repeated_spans(
 
     def decide(table: pa.Table) -> pa.Table:
         table = table.sort_by("anchor")
-        strings, (lows, highs, anchor, sid) = table.column("string").to_pylist(), (table.column(c).to_numpy() for c in ("lo", "hi", "anchor", "sid"))
+        anchor, lows, highs, sid = (table.column(c).to_numpy() for c in ("anchor", "lo", "hi", "sid"))
+        edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
+        # a string alone at its anchor has its windows to itself: a transform of it would be one of one document
+        alone = edge[:-1][np.diff(edge) == 1]
+        gone = alone[lows[alone] < highs[alone]]
+        windows = pc.binary_length(table.column("string")).to_numpy()[gone].astype(np.int64) - (min_len - 1)
+        found = [(anchor[gone], sid[gone], np.zeros(len(gone), np.int64), windows, lows[gone])]
+        tied = np.ones(len(anchor), bool)
+        tied[alone] = False
+        strings = table.column("string").filter(pa.array(tied)).to_pylist()
+        lows, highs, anchor, sid = lows[tied], highs[tied], anchor[tied], sid[tied]
         sizes = np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))
         # anchors have no windows in common: a few at a time keep the arrays small
         cuts = [0]
-        for k in [*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(strings)]:
+        for k in [*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(strings)] if strings else ():
             if sizes[k - 1] - (sizes[cuts[-1] - 1] if cuts[-1] else 0) >= 1 << 16 or k == len(strings):
                 cuts.append(k)
-        found = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             owner, *run = decision_runs(strings[a:b], lows[a:b], highs[a:b], min_len)
             found.append((anchor[a:b][owner], sid[a:b][owner], *run))
