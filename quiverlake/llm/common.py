@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiverlake.sources.shared import shared_path
+
 #: Separators of the words `[^\x20\x09-\x0D]+`, as a Java pattern.
 SPACE_SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Separators of the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, once A-Z are lower-cased.
@@ -92,16 +92,12 @@ class Scratch:
     """A folder of its own under spark.checkpoint.dir, which driver and executors share.
 
     Intermediate tables are written there and read again, which cuts lineage and survives the loss
-    of executors. Where the setting is unset, as in tests, a temporary folder takes its place.
+    of executors. Where the setting is unset, a local session gets a temporary folder, a cluster an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="quiverlake-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.path = shared_path(spark, name)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path, cleanup = f"{self.path}/{name}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -75,7 +75,8 @@ def clean_lines(
     docs: DataFrame, text_col: str = "text", min_words: int = 50, repeat_percent: int = 50, lost_percent: int = 50
 ) -> DataFrame:
     """The columns of docs, then: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, lines_removed, clean_text, kept. Columns of these names in docs go.
+    base_failed, lines_removed, clean_text, kept. Columns of these names in docs go; others may have any
+    name. An empty table gives no rows, and very long texts are judged whole.
 
     clean_text has the lines that pass. A document is kept if it has min_words words, at most
     repeat_percent of them in repeated 3-word windows, and loses at most lost_percent of its
@@ -83,11 +84,11 @@ def clean_lines(
     are judged one by one, so repeated rows and null ids change nothing. No shuffle.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines_removed", "clean_text", "kept")
-    docs = docs.drop(*names)
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [c for c in docs.columns if c not in names]
+    row = F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row") if own else F.lit(None).alias("_row")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     parts = docs.select(
-        *own,
+        row,
         text.alias("_text"),
         F.array_remove(F.split(text, SPACE_SEPARATORS), "").alias("_words"),
         F.split(text, "\n").alias("_lines"),
@@ -96,7 +97,7 @@ def clean_lines(
     parts = parts.select("*", F.size("_words").alias("_n"), worded.alias("_worded"), F.filter("_lines", lambda x: ~line_fails(x)).alias("_passed"))
     lengths = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     found = parts.select(
-        *own,
+        "_row",
         F.col("_n").cast("long").alias("n_words"),
         (F.length("_text") - F.regexp_count("_text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -109,7 +110,7 @@ def clean_lines(
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     kept = ~F.col("base_failed") & (100 * (F.col("_all") - F.col("_left")) <= lost_percent * F.col("_all"))
-    return found.withColumn("base_failed", failed).withColumn("kept", kept).select(*own, *names)
+    return found.withColumn("base_failed", failed).withColumn("kept", kept).select(*(F.col("_row").getField(c).alias(c) for c in own), *names)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,15 +210,17 @@ def first_of_groups(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str
     last = F.lit((1 << 63) - 1)
     keep = rows.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("hash").alias("_hash"))).alias("k"))
     keep = Scratch(docs.sparkSession, "simhash").write(keep.select("k._id", "k._hash"), "keep")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), last), "_hash": F.xxhash64(F.col(text_col).cast("string"))})
-    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id", "_hash"))
-    return keyed.join(keep, ["_id", "_hash"], "left_semi").withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    keyed = docs.select(row, F.coalesce(F.col(id_col).cast("long"), last).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_hash"))
+    kept = keyed.join(keep, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])  # copies are combined before they are dealt
+    return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """One row of each component stays, with all its columns: one of the smallest id; null ids come last.
 
-    Rows alike in id and text count as one, of which the first met stays.
+    Rows alike in id and text count as one, of which the first met stays. Columns may have any name; an
+    empty table stays empty, and texts of any length are read whole.
     """
     return first_of_groups(docs, near_duplicates(docs, id_col, text_col, radius), id_col, text_col)
 

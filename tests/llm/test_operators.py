@@ -194,6 +194,15 @@ def test_registered_query_counts_spans(spark, tmp_path):
     assert found[2]["kept_sha256"] == hashlib.sha256(b"x#y").hexdigest()
 
 
+def test_returned_columns_may_have_any_name(spark):
+    names = ("_id", "_hash", "_n", "_text", "_words", "_lines", "_passed", "_all", "_left", "_worded", "_row")
+    docs = spark.createDataFrame([(1, PASSAGE, *names), (2, PASSAGE, *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and ordered(map(tuple, kept.collect())) == ordered([(1, PASSAGE, *names), (None, None, *names)])
+    judged = quality.clean_lines(docs)
+    assert judged.columns[: len(docs.columns)] == docs.columns and ordered(tuple(r)[: len(docs.columns)] for r in judged.collect()) == ordered(map(tuple, docs.collect()))
+
+
 def test_window_minimums_on_random_strings():
     rng = np.random.default_rng(3)
     strings = [bytes(rng.integers(97, 99, rng.integers(30, 60)).astype(np.uint8)) for _ in range(40)] + [b"\0" * 40, b"\0" * 41]
