@@ -50,7 +50,7 @@ class WordEncoder:
     bound. Texts that name a special token go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, max_runs: int = 250_000, max_words: int = 250_000):
+    def __init__(self, path: str, max_runs: int = 500_000, max_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
