@@ -67,6 +67,7 @@ def scan_licenses(
     k: int = 4,
     slack: int = 3,
     least: float = 0.6,
+    broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels (both
     arrays), score, spans.
@@ -77,12 +78,18 @@ def scan_licenses(
     phrase stands.
 
     Null text has no words. Null and repeated doc_ids keep their rows, each judged by itself. Long texts
-    are scanned whole. The templates, a fixed list of this module or the caller's, are broadcast.
+    are scanned whole. An empty table gives no rows; other columns are not looked at. A template of fewer
+    than k words has no run to find, which is a ValueError. Templates are broadcast if their runs take
+    at most `broadcast_bytes`, and joined by a shuffle of the hashes beyond.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
     grams = template_grams(spark, templates, k)
-    known = sorted({r["hash"] for r in grams.select("hash").collect()})  # bounded by the given templates
+    measured = grams.agg(F.countDistinct("template"), F.sum(F.octet_length("gram") + 64)).first()
+    if measured[0] != len(templates):
+        raise ValueError(f"a template has fewer than {k} words")
+    if templates and measured[1] <= broadcast_bytes:
+        grams = F.broadcast(grams)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -90,15 +97,13 @@ def scan_licenses(
         F.array_remove(F.split(ascii_lower(text), ALNUM_SEPARATORS), "").alias("w"),
     )
 
-    def hits(words: Column) -> Column:
-        gram = lambda i: [F.get(words, i + j) for j in range(k)]
-        at = F.filter(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*gram(i)).isin(known))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*gram(i)).alias("hash"), F.concat_ws(" ", *gram(i)).alias("gram")))
+    def hashes(words: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
 
     base = F.array_sort(F.flatten(F.array(*(labelled_places(F.col("w"), phrase, label) for phrase, label in PHRASES))))
-    rows = rows.select(
-        "row", "doc_id", F.size("w").cast("long").alias("n_words"), base.alias("base"), F.when(F.size("w") >= k, let(F.col("w"), hits)).alias("hits")
-    )
+    # the first place, without a hash, stands for the text itself
+    every = F.concat(F.array(F.lit(None).cast("long")), F.when(F.size("w") >= k, let(F.col("w"), hashes)).otherwise(F.array().cast("array<long>")))
+    rows = rows.select("row", "doc_id", "w", F.size("w").cast("long").alias("n_words"), base.alias("base"), every.alias("hashes"))
     heads = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     rows = rows.select(
         "row",
@@ -108,10 +113,14 @@ def scan_licenses(
         F.get("base", F.lit(0))["at"].cast("long").alias("first_word"),
         F.when(F.size("base") > 0, F.element_at("base", -1)["at"]).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"]))).alias("base_labels"),
-        "hits",
-    ).select("row", F.struct(*heads).alias("head"), "hits")
-    each = rows.select("row", "head", F.explode_outer("hits").alias("hit")).select("row", "head", "hit.*")
-    voted = each.join(F.broadcast(grams), ["hash", "gram"], "left").withColumn("diagonal", F.col("at") - F.col("place"))
+        "w",
+        "hashes",
+    ).select("row", F.struct(*heads).alias("head"), "w", "hashes")
+    each = rows.select("row", "head", "w", F.posexplode("hashes").alias("n", "hash"))
+    each = each.select("row", "head", "hash", (F.col("n") - 1).alias("at"), F.concat_ws(" ", *(F.get("w", F.col("n") - 1 + j) for j in range(k))).alias("words_here"))
+    # words are put together only where a hash is met: the join and the filter are in one generated loop
+    voted = each.join(grams, "hash", "left").where((F.col("at") < 0) | (F.col("words_here") == F.col("gram")))
+    voted = voted.select("row", "head", "template", "label", "words", "at", "place", (F.col("at") - F.col("place")).alias("diagonal"))
     diagonals = voted.groupBy("row", "head", "template", "label", "words", "diagonal").agg(
         F.min("at").alias("start"), F.max("at").alias("end"), F.collect_set("place").alias("places")
     )

@@ -110,6 +110,34 @@ def test_licenses(spark, docs, empty):
     assert rows[2]["labels"] == ["mit"] and len(rows[2]["spans"]) == 1 and rows[2]["score"] > 0.6
     assert rows[3]["labels"] == [] and rows[3]["score"] == 0
     assert len(rows[4]["spans"]) == 2
+    # both kinds of join, and spans by brute force: template words in runs that stand in the text
+    everything = ROWS + [(i, t) for i, t in texts]
+    table = spark.createDataFrame(everything, "doc_id long, text string")
+    both = [sorted(map(str, licenses.scan_licenses(table, broadcast_bytes=n).collect())) for n in (0, 1 << 20)]
+    assert both[0] == both[1]
+    found = {}
+    for r in licenses.scan_licenses(table).collect():
+        for x in r["spans"]:
+            found.setdefault((r["doc_id"], x["template"]), []).append((x["start"], x["end"], round(x["coverage"], 9)))
+    expected = {}
+    for i, t in dict.fromkeys(everything):
+        w = alnum_words(t)
+        for n, (_, text) in enumerate(licenses.TEMPLATES):
+            p = alnum_words(text)
+            hits = sorted((a - b, a, b) for a in range(len(w) - 3) for b in range(len(p) - 3) if w[a : a + 4] == p[b : b + 4])
+            groups = []
+            for hit in hits:
+                if groups and hit[0] - groups[-1][-1][0] <= 3:
+                    groups[-1].append(hit)
+                else:
+                    groups.append([hit])
+            for g in groups:
+                covered = {b + j for _, _, b in g for j in range(4)}
+                if len(covered) / len(p) >= 0.6:
+                    expected.setdefault((i, n), []).append((min(a for _, a, _ in g), max(a for _, a, _ in g) + 4, round(len(covered) / len(p), 9)))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in expected.items()} and expected
+    with pytest.raises(ValueError, match="fewer than 4 words"):
+        licenses.scan_licenses(docs, templates=[("x", "too short")])
 
 
 def brute_removal(rows, size):
