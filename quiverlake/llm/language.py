@@ -41,18 +41,13 @@ def coders(samples: dict[str, bytes], level: int) -> dict[str, zstandard.ZstdCom
 
 @dataclass
 class LanguageModel:
-    """Dictionaries by language, and the share of each in the training rows, which breaks ties.
-
-    Texts of up to short_bytes get a level that also finds matches of three bytes.
-    """
+    """Dictionaries by language, and the share of each in the training rows, which breaks ties."""
 
     samples: dict[str, bytes]
     share: dict[str, float]
     chunk_bytes: int = 1024
     min_margin: float = 0.02
-    level: int = 6
-    short_bytes: int = 256
-    short_level: int = 16
+    level: int = 13
     _coders: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -62,11 +57,10 @@ class LanguageModel:
         """Bytes that the whole text takes with each dictionary, encoded in chunks, so that the
         dictionary rather than the text's own beginning explains each chunk."""
         data, step = letters_only(text), self.chunk_bytes
-        level = self.short_level if len(data) <= self.short_bytes else self.level
-        if level not in self._coders:
-            self._coders[level] = coders(self.samples, level)
+        if not self._coders:
+            self._coders = coders(self.samples, self.level)
         chunks = [data[i : i + step] for i in range(0, len(data), step)]
-        return {lang: sum(len(coder.compress(c)) - FRAME for c in chunks) for lang, coder in self._coders[level].items()}
+        return {lang: sum(len(coder.compress(c)) - FRAME for c in chunks) for lang, coder in self._coders.items()}
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score from 0 to 1, and whether the text is rejected.
@@ -104,41 +98,35 @@ def fit_languages(
     text_col: str = "text",
     lang_col: str = "lang",
     rows_per_language: int = 600,
-    chars_per_row: int = 2000,
-    max_languages: int = 64,
+    bytes_per_language: int = 1_200_000,
     **options: object,
 ) -> LanguageModel:
-    """A model of the labelled rows' languages; no more is read by the driver than the stated bounds.
+    """A model of the labelled rows' languages, fitted on a bounded sample that the driver reads.
+
+    The sample: of each language the rows of the smallest hashes, whole texts, until there are
+    rows_per_language of them or they take bytes_per_language, which the last may exceed. Rows alike in
+    id and text count once. Rows without id or language, and texts without a letter, are left out, as is
+    a language whose sample has less than 8 bytes. With no rows left, every prediction is `und`. Other
+    columns are not looked at.
 
-    The sample is bounded: of each of the max_languages most frequent languages, the rows_per_language
-    rows of the smallest hash of the id, and chars_per_row of each (1.2 million characters a language by
-    default). Rows without id, text or language are left out. With no rows left, every prediction is `und`.
+    No task sorts a language: about twice the rows wanted are kept by a bound on the hash, which the
+    number of distinct hashes gives, and only these are ranked.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where("id is not null and lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("id", "text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("hash").alias("hashes")).collect()
     total = sum(r["count"] for r in counts)
-    order = [F.xxhash64("id"), F.col("id")]
-    first = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    ids = (
-        rows.where(F.col("lang").isin([r["lang"] for r in counts]))
-        .select("lang", "id", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(256)).alias("part"))
-        .withColumn("n", first)
-        .where(F.col("n") <= rows_per_language)  # a language may have most rows: parts of it first
-        .withColumn("n", best)
-        .where(F.col("n") <= rows_per_language)
-        .collect()
-    )
-    samples: dict[str, list[tuple[int, str]]] = {}
-    if ids:
-        wanted = {(r["lang"], r["id"]): r["n"] for r in ids}
-        # repeated rows of one id may bring some more, which the row bound cuts again
-        found = rows.where(F.col("id").isin([r["id"] for r in ids])).select("lang", "id", F.substring("text", 1, chars_per_row).alias("part"))
-        for r in found.distinct().toLocalIterator():
-            if (n := wanted.get((r["lang"], r["id"]))) is not None and next(filter(str.isalpha, r["part"]), None):
-                samples.setdefault(r["lang"], []).append((n, r["part"]))
-    parts = {lang: [letters_only(x) for _, x in sorted(found)[:rows_per_language]] for lang, found in samples.items()}
+    samples: dict[str, list[str]] = {}
+    if counts:
+        bounds = [(r["lang"], -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * 2 * rows_per_language / r["hashes"]))) for r in counts]
+        limits = labelled.sparkSession.createDataFrame(bounds, "lang string, most long")  # a row for each language
+        few = rows.join(F.broadcast(limits), "lang").where("hash <= most").select("lang", "id", "text", "hash").distinct()
+        order = Window.partitionBy("lang").orderBy("hash", "id", "text")
+        before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        few = few.select("lang", "text", F.row_number().over(order).alias("n"), F.coalesce(before, F.lit(0)).alias("before"))
+        for r in few.where((F.col("n") <= rows_per_language) & (F.col("before") < bytes_per_language)).orderBy("lang", "n").collect():
+            samples.setdefault(r["lang"], []).append(r["text"])
+    parts = {lang: [letters_only(x) for x in found] for lang, found in samples.items()}
     texts = {lang: t for lang, t in cleaned(parts).items() if len(t) >= 8}
     return LanguageModel(texts, {r["lang"]: r["count"] / total for r in counts}, **options)
 

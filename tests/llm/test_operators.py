@@ -328,6 +328,12 @@ def test_language(spark, docs, empty):
     found = language.identify_languages(docs.withColumn("lang_pred", F.lit("x")), model)
     assert found.count() == len(ROWS) and found.columns == [*docs.columns, "lang_pred", "lang_score", "lang_rejected"]
     assert all(0 <= r["lang_score"] <= 1 for r in found.collect())
+    # whole rows in the order of their hashes, copies once, up to the stated bounds
+    copies = spark.createDataFrame([*rows, *[(7, "the and of", "en")] * 500], "doc_id long, text string, lang string")
+    assert sum(map(len, language.fit_languages(copies, rows_per_language=3).samples.values())) <= 3 * sum(max(len(t) for _, t, lang in rows if lang == x and t) + 2 for x in words)
+    few = language.fit_languages(copies, bytes_per_language=1).samples
+    assert sorted(few) == ["de", "en", "fr"] and all(x.decode().strip() in {t for _, t, _ in copies.collect()} for x in few.values())
+    assert language.fit_languages(copies.repartition(5)).samples == language.fit_languages(copies).samples
     nothing = language.fit_languages(empty)
     assert nothing.predict("some text") == ("und", 0.0, True) and language.identify_languages(empty, nothing).count() == 0
 
