@@ -69,7 +69,7 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     return stacks.select(F.col("inner").alias("key"), F.size(F.split("inner", r"\.", -1)).alias("labels"), "stack")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", section_rows: int = 10_000) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", parts: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages.
 
     rules has verdict (allow or block), host and path. A rule fits its host and all subdomains, if the
@@ -79,21 +79,27 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     A null url, or one without `://`, has empty host and path, which no rule fits. Null and repeated
     page_ids keep their rows. Empty rules leave all to the default. Other columns are not looked at.
+
+    A section with more than its share of the urls, one of `parts` (by default as many as the shuffle has
+    partitions), is swept in several parts. Urls alike part too, as their places in the table deal them.
     """
+    spark = pages.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) if parts is None else parts
+    share = max(1, -(-pages.count() // parts))
     ready = prepare_rules(rules)
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("_url"))
-    urls = urls.select("page_id", url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path"))
+    urls = urls.select("page_id", url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path"), F.monotonically_increasing_id().alias("at"))
     urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("section", section(F.col("key")))
     ready = ready.withColumn("section", section(F.col("key")))
-    # sections of many urls, with the number of parts; rules repeated in the parts are at most a tenth of the urls
-    crowded = urls.groupBy("section").count().where(F.col("count") > section_rows)
+    # sections above their share, with the number of parts; rules repeated in the parts are at most a tenth of the urls
+    crowded = urls.groupBy("section").count().where(F.col("count") > share)
     ruled = ready.groupBy("section").agg(F.count("*").alias("rules"))
-    part = F.greatest(F.lit(section_rows).cast("long"), 10 * F.coalesce("rules", F.lit(0)))
+    part = F.greatest(F.lit(share), 10 * F.coalesce("rules", F.lit(0)))
     crowded = crowded.join(ruled, "section", "left").select("section", F.ceil(F.col("count") / part).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    urls = urls.join(crowded, "section", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), parts).cast("int"))
+    dealt = F.coalesce("parts", F.lit(1))
+    urls = urls.join(crowded, "section", "left").withColumn("salt", F.pmod(F.xxhash64("at"), dealt).cast("int"))
     none = F.lit(None)
-    starts = ready.join(crowded, "section", "left").select("section", "key", "stack", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    starts = ready.join(crowded, "section", "left").select("section", "key", "stack", F.explode(F.sequence(F.lit(0), dealt - 1)).alias("salt"))
     # one label: the rule opens every section under it
     wide = ready.where("labels = 2").select(F.col("key").alias("wide"), "stack")
     under = urls.groupBy("section", "salt").count().select("section", "salt", F.concat(F.substring_index("section", ".", 1), F.lit(".")).alias("wide"))

@@ -421,8 +421,8 @@ def test_urls(spark):
     ] * 2
     pages = spark.createDataFrame([(i if i else None, c[0], 1, "h") for i, c in enumerate(cases)], "page_id long, url string, key int, host string")
     rules = spark.createDataFrame(urls.RULES + [("block", None, "/"), (None, "org", "/")], "verdict string, host string, path string")
-    for rows in (10_000, 1):
-        found = urls.judge_urls(pages, rules, section_rows=rows).collect()
+    for parts in (1, 10_000):
+        found = urls.judge_urls(pages, rules, parts=parts).collect()
         assert ordered(tuple(r) for r in found) == ordered((i if i else None, *c[1:]) for i, c in enumerate(cases))
     assert urls.judge_urls(pages.where("false"), rules).count() == 0
     assert {r["verdict"] for r in urls.judge_urls(pages, rules.where("false")).collect()} == {"allow"}
