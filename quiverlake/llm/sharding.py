@@ -3,7 +3,9 @@
 A record's hash names one of a few thousand slots, for good. Bytes are summed by slot, and a versioned
 map assigns slots to shards so that the shards' bytes are near equal. Rebalancing and growth edit the
 map and move whole slots; records are never hashed anew. Records alike in id and text can't be told
-apart by a hash, so a slot that they make heavy is dealt over several shards.
+apart by a hash. Where they make a slot heavy, the map names them by a second hash, their mark, and deals
+them over parts of their own; part 0 holds all other records of the slot. So the map alone says which
+shard holds a record, or which few share the copies of it.
 """
 
 from __future__ import annotations
@@ -16,19 +18,32 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read_table
 
-MAP_SCHEMA = "version int, shards int, slot int, part int, shard int, bytes long, rows long"
+MAP_SCHEMA = "version int, shards int, slot int, part int, mark long, shard int, bytes long, rows long"
 
 
 @dataclass(frozen=True)
 class SlotMap:
-    """Which shard each part of each slot belongs to. A slot has one part unless it is heavy.
+    """Which shard each part of each slot belongs to. A slot has part 0 alone unless copies make it heavy.
 
     parts: (slot, part) to (shard, bytes, rows), with what was measured when the version was made.
+    marks: (slot, part) to the mark of the copies that are dealt over it and its neighbours.
     """
 
     version: int
     shards: int
     parts: dict[tuple[int, int], tuple[int, int, int]] = field(default_factory=dict)
+    marks: dict[tuple[int, int], int] = field(default_factory=dict)
+
+    def copies(self) -> dict[tuple[int, int], list[int]]:
+        """The parts of each (slot, mark) that has parts of its own."""
+        found: dict[tuple[int, int], list[int]] = {}
+        for (slot, part), mark in sorted(self.marks.items()):
+            found.setdefault((slot, mark), []).append(part)
+        return found
+
+    def shards_of(self, slot: int, mark: int) -> set[int]:
+        """The shards that hold the records of a slot and a mark: one, but for copies that were dealt out."""
+        return {self.parts[slot, part][0] for part in self.copies().get((slot, mark), [0]) if (slot, part) in self.parts}
 
     def loads(self) -> list[int]:
         found = [0] * self.shards
@@ -37,7 +52,7 @@ class SlotMap:
         return found
 
     @classmethod
-    def balanced(cls, sizes: dict[tuple[int, int], tuple[int, int]], shards: int) -> SlotMap:
+    def balanced(cls, sizes: dict[tuple[int, int], tuple[int, int]], shards: int, marks: dict[tuple[int, int], int] | None = None) -> SlotMap:
         """The heaviest part first, each to the shard that has least."""
         heap = [(0, s) for s in range(shards)]
         parts = {}
@@ -45,12 +60,12 @@ class SlotMap:
             load, shard = heapq.heappop(heap)
             parts[key] = (shard, size, rows)
             heapq.heappush(heap, (load + size, shard))
-        return cls(1, shards, parts)
+        return cls(1, shards, parts, marks or {})
 
-    def measured(self, sizes: dict[tuple[int, int], tuple[int, int]]) -> SlotMap:
-        """The same assignment with new sizes; slots that were empty go to the lightest shard."""
+    def measured(self, sizes: dict[tuple[int, int], tuple[int, int]], marks: dict[tuple[int, int], int] | None = None) -> SlotMap:
+        """The same assignment with new sizes; parts that were empty go to the lightest shard."""
         parts = {k: (self.parts[k][0], *v) for k, v in sizes.items() if k in self.parts}
-        found = SlotMap(self.version, self.shards, parts)
+        found = SlotMap(self.version, self.shards, parts, self.marks if marks is None else marks)
         for key in sorted(sizes.keys() - parts.keys()):
             loads = found.loads()
             parts[key] = (loads.index(min(loads)), *sizes[key])
@@ -70,7 +85,7 @@ class SlotMap:
             parts[key] = (b, *parts[key][1:])
             loads[a] -= parts[key][1]
             loads[b] += parts[key][1]
-        return SlotMap(self.version + 1, self.shards, parts)
+        return SlotMap(self.version + 1, self.shards, parts, self.marks)
 
     def grown(self) -> SlotMap:
         """The next version with one more shard, which takes slots from the fullest ones; no other slot moves."""
@@ -87,10 +102,10 @@ class SlotMap:
             parts[key] = (new, *parts[key][1:])
             loads[a] -= parts[key][1]
             loads[new] += parts[key][1]
-        return SlotMap(self.version + 1, new + 1, parts)
+        return SlotMap(self.version + 1, new + 1, parts, self.marks)
 
     def rows(self) -> list[tuple]:
-        return [(self.version, self.shards, slot, part, *x) for (slot, part), x in sorted(self.parts.items())]
+        return [(self.version, self.shards, slot, part, self.marks.get((slot, part)), *x) for (slot, part), x in sorted(self.parts.items())]
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Appends this version; earlier ones stay, for readers that still use them."""
@@ -101,23 +116,27 @@ class SlotMap:
         table = spark.read.schema(MAP_SCHEMA + ", at int").parquet(path)
         version = table.agg(F.max("version")).first()[0] if version is None else version
         rows = table.where(F.col("version") == version).collect()
-        return cls(version, rows[0]["shards"] if rows else 0, {(r["slot"], r["part"]): (r["shard"], r["bytes"], r["rows"]) for r in rows})
+        parts = {(r["slot"], r["part"]): (r["shard"], r["bytes"], r["rows"]) for r in rows}
+        return cls(version, rows[0]["shards"] if rows else 0, parts, {(r["slot"], r["part"]): r["mark"] for r in rows if r["mark"] is not None})
 
 
-def record_slots(docs: DataFrame, id_col: str, text_col: str, slots: int, heavy: dict[int, int]) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot, part)."""
+def record_slots(docs: DataFrame, id_col: str, text_col: str, slots: int, copies: dict[tuple[int, int], list[int]]) -> DataFrame:
+    """(doc_id, size, text_crc32, virtual_slot, mark, part)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    slot: Column = F.pmod(F.xxhash64(F.col(id_col).cast("long"), text), F.lit(slots)).cast("int")
+    number = F.col(id_col).cast("long")
+    slot: Column = F.pmod(F.xxhash64(number, text), F.lit(slots)).cast("int")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        number.alias("doc_id"),
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         slot.alias("virtual_slot"),
+        F.xxhash64(F.lit(1), number, text).alias("mark"),
     )
     part = F.lit(0)
-    for k, n in sorted(heavy.items()):  # at most a few for each shard
-        part = F.when(F.col("virtual_slot") == k, F.pmod(F.monotonically_increasing_id(), F.lit(n))).otherwise(part)
-    return rows.withColumn("part", part.cast("int"))
+    for (k, mark), parts in sorted(copies.items()):  # at most a few for each shard
+        turn = F.pmod(F.monotonically_increasing_id(), F.lit(len(parts))).cast("int")
+        part = F.when((F.col("virtual_slot") == k) & (F.col("mark") == mark), F.get(F.array(*map(F.lit, parts)), turn)).otherwise(part)
+    return rows.withColumn("part", part)
 
 
 def measure(rows: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
@@ -134,7 +153,9 @@ def shard_documents(
     size is the text's UTF-8 bytes plus 8. shard follows the map: a new one, or `known` rebalanced for
     the present sizes. slot is the row's place in its shard, without gaps from 0, by virtual slot and
     then doc_id. Null text counts as empty; null and repeated doc_ids keep their rows. An empty table
-    gives no rows and a map without slots. Other columns are not looked at.
+    gives no rows and a map without slots. Other columns are not looked at. Records alike are interchangeable:
+    how many of them a part has may differ by a few between runs, which no other record's place depends on
+    but through the bytes that are balanced.
 
     No task holds more than a part of a virtual slot: places are counted inside it, and its first place
     follows from the map's row counts.
@@ -142,15 +163,21 @@ def shard_documents(
     rows = record_slots(docs, id_col, text_col, slots, {})
     sizes = measure(rows)
     most = sum(size for size, _ in sizes.values()) / (shards * 4) + 1
-    # a slot with a single row can't be divided
-    heavy = {slot: min(n, shards * 8) for (slot, _), (size, count) in sizes.items() if (n := min(int(size // most) + 1, count)) > 1 and size > most}
-    average = sum(count for _, count in sizes.values()) / slots
-    heavy = {slot: n for slot, n in heavy.items() if sizes[slot, 0][1] > 8 * average + 64}
-    if heavy:
+    marks = {} if known is None else dict(known.marks)
+    heavy = [slot for (slot, _), (size, count) in sizes.items() if size > most and count > 1]
+    if heavy:  # at most four for each shard, and no more groups of copies than that
+        alike = rows.where(F.col("virtual_slot").isin(heavy)).groupBy("virtual_slot", "mark")
+        alike = alike.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).where((F.col("rows") > 1) & (F.col("bytes") > most)).collect()
+        for slot, mark, size, count in sorted(alike):
+            if (slot, mark) not in {(k, m) for (k, _), m in marks.items()}:
+                free = max((part for k, part in marks if k == slot), default=0) + 1
+                marks |= {(slot, free + i): mark for i in range(min(int(size // most) + 1, count, shards * 8))}
+    if marks:
         # parts follow the rows' places, which another look at docs might change
-        rows = Scratch(docs.sparkSession, "slots").write(record_slots(docs, id_col, text_col, slots, heavy), "rows")
+        copies = SlotMap(0, shards, {}, marks).copies()
+        rows = Scratch(docs.sparkSession, "slots").write(record_slots(docs, id_col, text_col, slots, copies), "rows")
         sizes = measure(rows)
-    used = SlotMap.balanced(sizes, shards) if known is None else known.measured(sizes).rebalanced()
+    used = SlotMap.balanced(sizes, shards, marks) if known is None else known.measured(sizes, marks).rebalanced()
     firsts, places = [0] * used.shards, []
     for (slot, part), (shard, _, count) in sorted(used.parts.items()):
         places.append((slot, part, shard, firsts[shard]))

@@ -454,6 +454,19 @@ def test_sharding(spark, docs, empty, tmp_path):
     loads = used.loads()
     assert max(loads) - min(loads) <= 0.05 * sum(loads) / 4
     assert rows.count() == 3000 and rows.select("shard", "slot").distinct().count() == 3000
+    # the map alone says where a record is, also once it was stored
+    used.save(spark, str(tmp_path / "heavy"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "heavy")) == used and len(used.copies()) == 1
+    key = "doc_id", "text_crc32"
+    marks = sharding.record_slots(same, "doc_id", "text", 512, {}).select(*key, "virtual_slot", "mark").distinct()
+    joined = rows.join(marks, [*key, "virtual_slot"]).collect()
+    assert len(joined) == 3000 and all(r["shard"] in used.shards_of(r["virtual_slot"], r["mark"]) for r in joined)
+    assert {len(used.shards_of(r["virtual_slot"], r["mark"])) for r in joined if r["doc_id"] != 7} == {1}
+    # a known map keeps its parts, and other partitions change no record's place
+    again, kept = sharding.shard_documents(same.repartition(5), shards=4, slots=512, known=used)
+    assert kept.marks == used.marks and kept.version == used.version + 1
+    where = lambda t: {(r["doc_id"], r["shard"]) for r in t.where("doc_id <> 7").collect()}
+    assert len(where(again) & where(rows)) >= 0.95 * len(where(rows))
 
 
 def test_slot_map_rebalances_with_whole_slots():
