@@ -47,7 +47,7 @@ class LanguageModel:
     share: dict[str, float]
     chunk_bytes: int = 1024
     min_margin: float = 0.02
-    level: int = 13
+    level: int = 6
     _coders: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
