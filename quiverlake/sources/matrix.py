@@ -87,6 +87,13 @@ def parse_log(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.substring_index("value", ",", 1).alias("kind"), F.str_to_map(rest, F.lit(","), F.lit("=")).alias("fields"))
 
 
+def write_runs(spark: SparkSession, rows: list[dict], path: str) -> None:
+    """Measured runs as CSV: a header, then a line for each run, in the order given."""
+    columns = list(rows[0])
+    table = spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], columns)
+    table.coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
 def write_metadata(path: str, files: dict[str, str], **fields: object) -> None:
     """A JSON file with fields and the SHA-256 of each file."""
     sums = {name: hashlib.sha256(open(p, "rb").read()).hexdigest() for name, p in files.items()}
