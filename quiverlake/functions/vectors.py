@@ -101,8 +101,40 @@ def sha256(row: np.ndarray) -> str:
     return hashlib.sha256(np.asarray(row, "<f4").tobytes()).hexdigest()
 
 
+class VecTopk:
+    """vec_topk(TABLE(rows), query, k): (id, score) of the K best rows (id, values) of each partition of its table.
+
+    `TABLE(rows) PARTITION BY (x)` ranks each x by itself, and `TABLE(rows)` each partition that Spark reads, without
+    a shuffle: ORDER BY score DESC, id LIMIT k over that ranks the whole. A task holds 2 K and 1,024 rows at most. Rows of null id or values are left out; another length than the query's is a ValueError.
+    """
+
+    def __init__(self):
+        self.best: list[tuple[float, bytes]] = []
+        self.query, self.k = None, 0
+
+    def eval(self, row, query, k):
+        if row["id"] is None or row["values"] is None or query is None or k is None or k <= 0:
+            return
+        if self.query is None:
+            self.query, self.k = np.array(query, np.float32).astype(np.float64), k
+            self.q_sq = np.add.accumulate(self.query * self.query)[-1] if len(query) else 0.0
+        v = np.array(row["values"], np.float32).astype(np.float64)
+        if len(v) != len(self.query):
+            raise ValueError(f"a vector must have {len(self.query)} components, not {len(v)}")
+        size = self.q_sq * np.add.accumulate(v * v)[-1] if len(v) else 0.0
+        score = np.float32(np.add.accumulate(v * self.query)[-1] / math.sqrt(size)) if size else np.float32(0)
+        self.best.append((-float(score), row["id"].encode()))
+        if len(self.best) >= 2 * self.k + 1024:
+            self.best = sorted(self.best)[: self.k]
+
+    def terminate(self):
+        for score, name in sorted(self.best)[: self.k]:
+            yield name.decode(), -score + 0.0
+
+
 def register(spark: SparkSession) -> None:
-    """vec_dot, vec_sqnorm and vec_cosine for SQL, as expressions that the optimizer sees through."""
+    """vec_dot, vec_sqnorm and vec_cosine for SQL, as expressions that the optimizer sees through; vec_topk as a table function."""
+    spark.udtf.register("vec_topk", F.udtf(VecTopk, returnType="id string, score float"))
     fold = "aggregate({}, 0D, (s, x) -> s + x)"
     pair = fold.format("zip_with(a, b, (x, y) -> double(x) * double(y))")
     own = fold.format("transform({0}, x -> double(x) * double(x))")

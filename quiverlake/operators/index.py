@@ -106,7 +106,7 @@ class VectorIndex:
     def _check_numbers(self, vector: np.ndarray) -> None:
         if not self.allow_nonfinite and not np.isfinite(vector).all():
             raise ValueError("a vector's components must be finite")
-        if self.strategy == "arrow_fp32":
+        if self.strategy in ("arrow_fp32", "arrow_naive_fp32"):
             low, high = np.sqrt(np.finfo(np.float32).tiny), np.sqrt(np.finfo(np.float32).max / (4 * self.dimension))
             size = np.abs(vector.astype(np.float64))
             if ((size != 0) & ((size < low) | (size > high))).any():
@@ -119,7 +119,7 @@ class VectorIndex:
         checks = [F.count("*").alias("n"), F.count(F.when(~has_dimension(F.col("values"), self.dimension), 1)).alias("size"), F.count(F.when(F.col("id").isNull(), 1)).alias("null")]
         if not self.allow_nonfinite:
             checks.append(F.count(F.when(~is_finite(F.col("values")), 1)).alias("finite"))
-        if self.strategy == "arrow_fp32":
+        if self.strategy in ("arrow_fp32", "arrow_naive_fp32"):
             checks.append(F.count(F.when(~in_fp32_range(F.col("values"), self.dimension), 1)).alias("range"))
         found = rows.agg(*checks).first().asDict()
         if found["size"]:
@@ -181,8 +181,8 @@ class VectorIndex:
         return np.array(row["values"], np.float32)
 
     def build_index(self) -> None:
-        """Keeps a snapshot in memory for the searches to come. Appends make it stale; the next call
-        replaces it, and frees the old one only when the new one stands."""
+        """Keeps a snapshot in memory for the searches to come. Appends make it stale; the next search or
+        call replaces it, and frees the old one only when the new one stands."""
         self.flush()
         new = self._rows.withColumn("sqnorm", sq_norm(F.col("values"))).persist()
         new.count()
@@ -192,7 +192,9 @@ class VectorIndex:
 
     def _table(self) -> DataFrame:
         self.flush()
-        table = self._snapshot if self._snapshot is not None and self._snapshot_size == self._size else self._rows
+        if self._snapshot is not None and self._snapshot_size != self._size:
+            self.build_index()
+        table = self._snapshot if self._snapshot is not None else self._rows
         return table.coalesce(self.threads) if self.threads > 1 else table  # no shuffle
 
     def search_dataframe(self, query: object, k: int) -> DataFrame:

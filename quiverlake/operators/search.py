@@ -6,6 +6,7 @@
 | arrow_exact | Arrow batches, one dimension after the other over all rows  | exact, the default  |
 | arrow       | Arrow batches, matrix products in doubles                   | within 1e-6         |
 | arrow_fp32  | Arrow batches, matrix products in 4-byte floats             | within 1e-5         |
+| arrow_naive_fp32 | as arrow_exact, with sums in 4-byte floats             | within 1e-5         |
 
 Results are ordered by score, then by id as bytes. Queries are a stated set: they go to the vectors in
 blocks of bounded size, each task keeps K rows a query, and only those are shuffled to the final Top-K.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quiverlake.functions.vectors import cosine, sq_norm
 
-STRATEGIES = ("sql", "arrow_exact", "arrow", "arrow_fp32")
+STRATEGIES = ("sql", "arrow_exact", "arrow", "arrow_fp32", "arrow_naive_fp32")
 #: Names of strategies that need hardware which this engine does not drive.
 UNAVAILABLE = ("avx2", "multithreaded_avx2", "cuda", "cuda_per_query", "cuda_block_parallel", "cuda_fp32", "cuda_block_parallel_fp32")
 RESULT = "query_id long, id string, score float"
@@ -37,16 +38,16 @@ def check_strategy(name: str) -> str:
     return name
 
 
-def exact_scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Scores of all rows of v against all of q, every sum in dimension order."""
-    columns = np.ascontiguousarray(v.T, np.float64)
-    queries = np.ascontiguousarray(q.T, np.float64)
-    total, vn, qn = np.zeros((v.shape[0], q.shape[0])), np.zeros(v.shape[0]), np.zeros(q.shape[0])
+def exact_scores(v: np.ndarray, q: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """Scores of all rows of v against all of q, every sum in dimension order and of this kind; queries' norms are doubles."""
+    columns = np.ascontiguousarray(v.T, kind)
+    queries = np.ascontiguousarray(q.T, kind)
+    total, vn, qn = np.zeros((v.shape[0], q.shape[0]), kind), np.zeros(v.shape[0], kind), np.zeros(q.shape[0])
     for x, y in zip(columns, queries, strict=True):
         total += x[:, None] * y[None, :]
         vn += x * x
-        qn += y * y
-    return over_norms(total, vn, qn)
+        qn += y.astype(np.float64) ** 2
+    return over_norms(total, vn.astype(np.float64), qn)
 
 
 def over_norms(total: np.ndarray, vn: np.ndarray, qn: np.ndarray) -> np.ndarray:
@@ -60,8 +61,8 @@ def matrix_scores(v: np.ndarray, q: np.ndarray, kind: type) -> np.ndarray:
 
 
 def score_block(strategy: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    if strategy == "arrow_exact":
-        return exact_scores(v, q)
+    if strategy in ("arrow_exact", "arrow_naive_fp32"):
+        return exact_scores(v, q, np.float64 if strategy == "arrow_exact" else np.float32)
     return matrix_scores(v, q, np.float64 if strategy == "arrow" else np.float32)
 
 

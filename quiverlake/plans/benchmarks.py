@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quiverlake.functions.vectors import fnv1a
 from quiverlake.operators import hnsw, metrics
 from quiverlake.operators.index import memory_usage
-from quiverlake.operators.search import topk, topk_batch
+from quiverlake.operators.search import STRATEGIES, topk, topk_batch
 from quiverlake.sources import matrix
 from quiverlake.sources.datagen import clustered_vectors, parameter_grid, run_order, uniform_vectors
 
@@ -77,7 +77,7 @@ def parser() -> argparse.ArgumentParser:
         kind[name].add_argument("--warmups", type=natural, default=1)
         kind[name].add_argument("--repetitions", type=positive, default=1)
     kind["exact"].add_argument("--threads", type=distinct(positive), default=[1])
-    kind["exact"].add_argument("--strategies", type=distinct(str), default=["sql", "arrow_exact", "arrow", "arrow_fp32"])
+    kind["exact"].add_argument("--strategies", type=distinct(str), default=list(STRATEGIES))
     kind["hnsw"].add_argument("--ef-search", type=distinct(positive), default=[50])
     kind["hnsw"].add_argument("--input-prefix", help="reads the files that diagnose --export-prefix wrote, once their checksums agree")
     kind["hnsw"].add_argument("--preset", choices=["large"])

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiverlake.functions import vectors as V
+from quiverlake.operators import metrics
 from quiverlake.operators.index import VectorIndex, available_backends
 from quiverlake.operators.search import exact_scores, topk, topk_batch
 from quiverlake.sources.datagen import grid_vectors, run_order
@@ -31,7 +32,7 @@ def search(spark, rows, q, k, strategy="sql"):
     return [(r["id"], r["score"]) for r in topk(table(spark, rows), q, k, strategy).collect()]
 
 
-@pytest.mark.parametrize("strategy", ["sql", "arrow_exact", "arrow", "arrow_fp32"])
+@pytest.mark.parametrize("strategy", ["sql", "arrow_exact", "arrow", "arrow_fp32", "arrow_naive_fp32"])
 def test_order_ties_zero_rows_and_large_k(spark, strategy):
     rows = [("opposite", (-1, 0)), ("zero", (0, 0)), ("b", (1, 1)), ("a", (1, 1)), ("exact", (1, 0))]
     found = search(spark, rows, [1.0, 0.0], 10, strategy)
@@ -54,7 +55,7 @@ def test_strategies_agree_on_grid_vectors(spark, dimension):
     read = lambda s: {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in topk_batch(rows, queries, 10, s).collect()}
     exact = read("sql")
     assert len(exact) == 70 and read("arrow_exact") == exact
-    for strategy, tolerance in (("arrow", 1e-6), ("arrow_fp32", 1e-5)):
+    for strategy, tolerance in (("arrow", 1e-6), ("arrow_fp32", 1e-5), ("arrow_naive_fp32", 1e-5)):
         found = read(strategy)
         assert all(abs(found[k][1] - exact[k][1]) <= tolerance for k in exact)
 
@@ -65,6 +66,58 @@ def test_extreme_components():
     assert exact_scores(v, v).diagonal().tolist() == [1, 1, 0]
 
 
+def test_sums_in_four_byte_floats():
+    a, b = grid_vectors(2, 300)
+    dot = norm = np.float32(0)
+    for x, y in zip(a, b, strict=True):
+        dot, norm = np.float32(dot + x * y), np.float32(norm + x * x)
+    q = sum(float(y) ** 2 for y in b)
+    assert exact_scores(a[None], b[None], np.float32)[0, 0] == np.float32(float(dot) / np.sqrt(float(norm) * q))
+
+
+def test_table_function(spark):
+    V.register(spark)
+    data = grid_vectors(40, 5)
+    rows = [(f"v{i}", v) for i, v in enumerate(data[:39])] + [("zero", np.zeros(5))]
+    table(spark, rows).unionByName(spark.createDataFrame([(40, None, [1.0] * 5), (41, "none", None)], SCHEMA)).createOrReplaceTempView("udtf_rows")
+    q = data[39].tolist()
+    asked = f"array({', '.join(map(repr, q))})"
+    for k in (0, 3, 100):
+        found = spark.sql(f"SELECT id, score FROM vec_topk(TABLE(udtf_rows), {asked}, {k}) ORDER BY score DESC, id LIMIT {k}").collect()
+        assert [(r["id"], r["score"]) for r in found] == search(spark, rows, q, k)
+    whole = spark.sql(f"SELECT id, score FROM vec_topk(TABLE(udtf_rows) WITH SINGLE PARTITION, {asked}, 3)").collect()
+    assert [(r["id"], r["score"]) for r in whole] == search(spark, rows, q, 3)
+    parts = "TABLE(SELECT id, values, ord % 4 AS part FROM udtf_rows) PARTITION BY (part)"
+    found = spark.sql(f"SELECT id, score FROM vec_topk({parts}, {asked}, 3) ORDER BY score DESC, id").collect()
+    assert len(found) == 12 and [(r["id"], r["score"]) for r in found[:3]] == search(spark, rows, q, 3)
+
+
+def test_a_stale_snapshot_is_replaced_by_the_next_search(spark):
+    index = VectorIndex(spark, 2)
+    index.add("a", [1, 0])
+    index.build_index()
+    old = index._snapshot
+    index.add("b", [0, 1])
+    assert index._snapshot is old
+    assert [r["id"] for r in index.search([0, 1], 1)] == ["b"]
+    assert index._snapshot is not old and index._snapshot.count() == 2 and not old.is_cached
+
+
+def test_bits_of_floats_and_half_floats(spark):
+    rows = spark.createDataFrame([([1.0, -2.0, 0.0],), (None,)], "a array<float>")
+    assert [r[0] for r in rows.select(V.float_bits("a")).collect()] == [[0x3F800000, 0xC0000000, 0], None]
+    half = V.as_vector(np.array([0.5, -2, 65504], np.float16), 3)
+    assert half.dtype == np.float32 and half.tolist() == [0.5, -2, 65504]
+
+
+def test_largest_score_error_and_overlap(spark):
+    schema = "query_id long, rank int, score float"
+    a, b = (spark.createDataFrame([(0, 1, x), (0, 2, 0.5)], schema) for x in (0.75, 1.0))
+    assert metrics.max_score_error(a, b).first()[0] == 0.25
+    data = table(spark, [("a", (1, 0)), ("b", (0, 1)), ("c", (0, 1))])
+    assert metrics.overlap(data, data.where("id = 'b'")).first()[0] == 2
+
+
 def test_batches_of_queries_go_in_blocks(spark):
     data = grid_vectors(30, 4)
     rows = table(spark, [(str(i), v) for i, v in enumerate(data)])
