@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from quiverlake.functions.vectors import has_dimension, is_finite
 from quiverlake.sources.shared import shared_folder, shared_path
 
-from .search import RESULT, query_blocks
+from .search import RESULT, exact_scores, query_blocks
 
 NODES = "shard int, ord long, id string, values array<float>, level int, links array<array<long>>"
 
@@ -175,8 +175,12 @@ class ShardGraph:
         """Nodes scored by one query each, as numbers. Scores are exact: sums in dimension order."""
         dots = np.add.accumulate(self.v[nodes] * q, axis=1)[:, -1]
         n = self.sq[nodes] * q_sq
-        score = np.where(n == 0, 0.0, dots / np.sqrt(np.where(n == 0, 1.0, n))).astype(np.float32) + np.float32(0)
-        bits = score.view(np.int32).astype(np.int64)
+        score = np.where(n == 0, 0.0, dots / np.sqrt(np.where(n == 0, 1.0, n))).astype(np.float32)
+        return self.ranked(score, nodes)
+
+    def ranked(self, score: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Scores of nodes as numbers."""
+        bits = (score + np.float32(0)).view(np.int32).astype(np.int64)
         turned = np.where(bits < 0, bits ^ 0x7FFFFFFF, bits)
         return turned << 32 | (len(self.ids) - 1 - self.place[nodes]) << 1 | 1
 
@@ -212,6 +216,34 @@ class ShardGraph:
                 found[row, column] = self.numbers(q[asks], q_sq[asks], nodes)
                 kept[busy] = np.partition(np.concatenate([kept[busy], found], axis=1), to.shape[1], axis=1)[:, to.shape[1] :]
 
+    def reach(self, start: int) -> np.ndarray:
+        """Which nodes the base layer's links lead to from a node, breadth first."""
+        seen, front = np.zeros(len(self.ids), bool), np.array([start])
+        while len(front):
+            seen[front] = True
+            to = self.layers[0][front]
+            ahead = np.zeros(len(self.ids), bool)
+            ahead[to[to >= 0]] = True
+            front = np.flatnonzero(ahead & ~seen)
+        return seen
+
+    def whole(self, q: np.ndarray, starts: np.ndarray, count: int, cells: int = 1 << 17) -> np.ndarray:
+        """The `count` best of what beam() finds on the base layer with a breadth of all nodes, in no order.
+
+        With that breadth no node is ever pushed out, so a walk ends with every node in reach of its
+        start, whatever the query: the links are followed once for each start, and all nodes in reach are
+        scored together. A block of `cells` scores stays in the processor's cache.
+        """
+        nodes, size = np.arange(len(self.ids)), len(self.ids)
+        step, best = max(1, cells // size), np.full((len(q), count), LOW)
+        for start in np.unique(starts).tolist():
+            seen, rows = self.reach(start), np.flatnonzero(starts == start)
+            for first in range(0, len(rows), step):
+                mine = rows[first : first + step]
+                found = np.where(seen, self.ranked(exact_scores(q[mine], self.v), nodes), LOW)
+                best[mine] = np.partition(found, size - count, axis=1)[:, size - count :]
+        return best
+
     def search(self, queries: np.ndarray, k: int, ef: int, cells: int = 1 << 22) -> Iterator[tuple[int, list[tuple[str, float]]]]:
         """(query's number, [(id, score), ...], best first); `cells` bounds queries at a time times rows."""
         count = min(k, len(self.ids))
@@ -223,11 +255,13 @@ class ShardGraph:
             at = np.full(len(q), self.entry)
             for layer in range(self.top, 0, -1):
                 at = self.node_of(self.beam(q, q_sq, at, 1, layer)[:, 0])
-            best = -np.sort(-np.where((found := self.beam(q, q_sq, at, width, 0)) == LOW, LOW + 1, found), axis=1)[:, :count]
+            found = self.whole(q, at, count) if width == len(self.ids) else self.beam(q, q_sq, at, width, 0)
+            best = np.sort(found, axis=1)[:, ::-1][:, :count]
             turned = best >> 32
             scores = np.where(turned < 0, turned ^ 0x7FFFFFFF, turned).astype(np.int32).view(np.float32)
-            for row, (nodes, own) in enumerate(zip(self.node_of(best).tolist(), scores.tolist(), strict=True)):
-                yield first + row, [(self.ids[i], x) for i, x in zip(nodes, own, strict=True)]
+            within = best != LOW  # others are out of reach
+            for row, (nodes, own, there) in enumerate(zip(self.node_of(best).tolist(), scores.tolist(), within.tolist(), strict=True)):
+                yield first + row, [(self.ids[i], x) for i, x, y in zip(nodes, own, there, strict=True) if y]
 
     def links(self) -> list[list[list[int]]]:
         """Each node's links by layer."""

@@ -102,6 +102,25 @@ def test_full_breadth_is_exact(dimension):
     assert len(ask(g, data[100], 20, 1)) == 20
 
 
+def test_full_breadth_follows_links_once_for_all_queries(monkeypatch):
+    data = grid_vectors(430, 5)
+    g = graph(data[:400], M=4, ef_construction=20)
+    layers, beam = [], g.beam
+    monkeypatch.setattr(g, "beam", lambda *a: layers.append(a[-1]) or beam(*a))
+    for q in data[400:]:
+        assert ask(g, q, 400, 1) == exact(data[:400], g.ids, q, 400)
+        assert ask(g, q, 7, 1000) == exact(data[:400], g.ids, q, 7)
+    assert 0 not in layers  # the walk of single steps sorts all kept nodes at each
+
+
+def test_full_breadth_finds_only_what_links_reach():
+    data = grid_vectors(51, 5)
+    g = graph(data[:50], M=4, ef_construction=20)
+    g.top, g.entry = 0, 0
+    g.layers[0][20:], g.layers[0][g.layers[0] >= 20] = -1, -1  # links of a graph that came from elsewhere
+    assert ask(g, data[50], 50, 50) == exact(data[:20], g.ids, data[50], 50)
+
+
 @pytest.mark.parametrize("value", [0.0, 1.0])
 def test_equal_vectors_stay_in_reach(value):
     ids = [str(i) for i in range(99, -1, -1)]
