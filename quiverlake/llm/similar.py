@@ -1,8 +1,9 @@
 """Near-duplicates by the Jaccard similarity of word-shingle sets.
 
-Candidates come from MinHash: 32 bands of five minima. A pair at similarity s shares a band with
-probability 1 - (1 - s^5)^32, so one at exactly 0.8 is missed once in 330,000 times. No candidate counts
-before its shingle sets were compared in full.
+Candidates come from op6's operator: what its fingerprints link, through covering masks, in groups of any
+size. Pairs further apart come from MinHash: 32 bands of five minima. A pair at similarity s shares a band
+with probability 1 - (1 - s^5)^32, so one at exactly 0.8 is missed once in 330,000 times. No candidate
+counts before its shingle sets were compared in full.
 
 Rows of equal sets are one node. Each node of a band's bucket is linked to the bucket's lowest node, so
 candidates grow with the nodes and not with their pairs; what such links connect is compared together.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices, to_bytes
-from .simhash import components, first_of_groups, shingle_hashes
+from .simhash import components, first_of_groups, near_duplicates, shingle_hashes
 
 BANDS, ROWS = 32, 5
 _rng = np.random.default_rng(11)
@@ -122,6 +123,14 @@ def similar_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: st
     return sets.select("node", "root", F.explode("parts").alias("part"), "shingles").groupBy("root", "part").applyInArrow(compare, "a long, b long")
 
 
+def fingerprint_candidates(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(a, b): each node of a component of near_duplicates with the component's lowest node. A text's hash says where it is in both."""
+    groups = near_duplicates(docs, id_col, text_col).select("hash", F.col("root").alias("print")).distinct()
+    member = scratch.write(prints.select("hash", "node").distinct().join(groups, "hash").select("print", "node").distinct(), "member")
+    lowest = member.groupBy("print").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("print", "b")
+    return member.join(lowest, "print").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, hash, root, component_id) for every row: component_id is the smallest doc_id reachable
     by links of at least this Jaccard similarity between sets of n-word shingles.
@@ -137,7 +146,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     banded = prints.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
     banded = scratch.write(banded, "banded")
     lowest = banded.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("band", "b")
-    near = scratch.write(banded.join(lowest, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near")
+    near = banded.join(lowest, "band").where("node <> b").select(F.col("node").alias("a"), "b")
+    near = scratch.write(near.unionByName(fingerprint_candidates(docs, prints, id_col, text_col, scratch)).distinct(), "near")
+    scratch.drop("banded")
+    scratch.drop("member")
     plain = nodes.select(F.col("node").alias("fp"), "low")
     ends = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).distinct()
     tied = scratch.write(components(plain.join(ends, "fp", "left_semi"), near, Scratch(spark, "similar-near")), "tied")
@@ -145,7 +157,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = scratch.write(similar_links(docs, members, id_col, text_col, n, similarity).distinct(), "links")
     named = scratch.write(components(plain, links, Scratch(spark, "similar-links")), "named")
     named = named.select(F.col("fp").alias("node"), "root", F.col("low").alias("component_id"))
-    return prints.join(named, "node").select("doc_id", "hash", "root", "component_id")
+    found = scratch.write(prints.join(named, "node").select("doc_id", "hash", "root", "component_id"), "found")
+    for name in ("prints", "nodes", "near", "tied", "links", "named"):
+        scratch.drop(name)
+    return found
 
 
 def drop_similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -1,7 +1,9 @@
 """The near-duplicate stage against a brute-force comparison of all pairs."""
 
+import os
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -62,3 +64,21 @@ def test_odd_rows(spark):
     found = similar.drop_similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or -1) for r in found) == [-1, 2, 7]
     assert similar.drop_similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fingerprints_name_candidates(spark, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(4, " ".join(words)), (1, " ".join([*words[:299], "x"])), (9, " ".join(words[::-1]))]
+    rows += [(20, " ".join(["a", "b", "c"] * 400 + words[:30])), (21, " ".join(["a", "b", "c"] * 400 + words[60:90]))]
+    prints = [simhash.simhash(simhash.shingle_hashes(t.encode().split())) for _, t in rows]
+    assert all((prints[i] ^ prints[i + 1]).bit_count() <= 3 for i in (0, 3)) and brute(rows) == {4: 1, 1: 1, 9: 9, 20: 20, 21: 21}
+    monkeypatch.setattr(similar, "bands", lambda sets: np.arange(len(sets) * similar.BANDS).reshape(len(sets), -1) + hash(sets[0].tobytes()))  # no two alike
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 9, 20, 21]
+
+
+def test_no_table_stays_that_no_plan_reads(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(similar, "Scratch", lambda s, name: found.append(simhash.Scratch(s, name)) or found[-1])
+    found = []
+    rows = similar.similar_documents(spark.createDataFrame(edited_texts()[:20], "doc_id long, text string"))
+    assert os.listdir(found[0].path.removeprefix("file://")) == ["found"] and rows.count() == 20
