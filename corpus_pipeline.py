@@ -28,13 +28,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 0.8 or more of their five-word shingles: that of the smallest doc_id."""
+    """One document of each group linked by 0.8 or more of their five-word shingles: that of the smallest doc_id.
+    Op6's fingerprints name candidates, and MinHash those that are further apart."""
     return drop_similar_documents(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 50 bytes or more that also start in an earlier one."""
-    cut = dedup_substrings(docs)
+    cut = dedup_substrings(docs, share=0.9)  # what earlier stages have written takes disk too
     return cut.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
 
 

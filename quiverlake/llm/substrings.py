@@ -37,6 +37,8 @@ ANCHOR = 20
 FIRST = 7
 #: Windows are looked at in blocks of so many; a place in a block and its window fits 20 bits.
 BLOCK = 1 << 19
+#: Bytes of text from which a sample says how many rounds there are.
+ENOUGH = 1 << 26
 #: Bits of one bitmap of Spark's bitmap functions.
 MAP_BITS = 1 << 15
 
@@ -267,6 +269,11 @@ def decision_runs(strings: list[bytes], lows: np.ndarray, highs: np.ndarray, min
     return owner, starts - begins[owner], ends - begins[owner], flat[starts]
 
 
+def rounds_for(text: int, strings: int, least: int, share: float, sampled: int) -> int:
+    """In how many rounds a sample's strings are `share` times its text each; `least` where the whole text is under ENOUGH."""
+    return least if not text or text * sampled < ENOUGH else max(least, -(-strings // max(1, int(share * text))))
+
+
 def repeated_spans(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -275,6 +282,8 @@ def repeated_spans(
     task_bytes: int = 1 << 20,
     hot_bytes: int = 8 << 20,
     rounds: int = 2,
+    share: float = 1.0,
+    sampled: int = 64,
 ) -> tuple[DataFrame, Scratch]:
     """Byte strings to remove, as (_id, _hash, _spans): _spans is an array of numbers, each with the first
     byte of a span in its upper 32 bits and the byte after its last in the lower ones. Spans may overlap.
@@ -285,8 +294,11 @@ def repeated_spans(
     windows; an empty table gives no rows. Very long texts are looked at in blocks that overlap. Other
     columns are not looked at.
 
-    Anchors are handled in `rounds`, each with its share of them by hash, so that the strings of one
-    round alone take disk at a time.
+    Anchors are handled in rounds, each with its share of them by hash, so that the strings of one
+    round alone take disk at a time. There are `rounds` or as many more as it takes to hold a round's
+    strings to `share` times the bytes of the texts: of a larger corpus, more of the text is around
+    anchors of two documents, or passes a filter that is dense. One text in `sampled`, by hash, says how
+    much that is; it plans the rounds and nothing else.
     """
     if min_len < ANCHOR + 2:
         raise ValueError(f"min_len must be {ANCHOR + 2} or more")
@@ -304,6 +316,14 @@ def repeated_spans(
                 columns = (key[starts], np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts))
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["anchor", "lo", "hi"])
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = sent.value
+        for batch in slices(batches, "bytes", 2 << 20):
+            size = 0
+            for runs in batch_runs(batch.column("bytes"), min_len, strings=False):
+                size += int((runs.end - runs.start + (min_len - 1 + 24))[passes(runs.key)].sum())  # three numbers go with a string
+            yield pa.RecordBatch.from_arrays([pa.array([len(binary_view(batch.column("bytes"))[0])]), pa.array([size])], ["text", "strings"])
+
     def cutter(mine: int, whole: bool):
         """Strings around the anchors of one round: their bytes, or where they stand."""
 
@@ -354,6 +374,9 @@ def repeated_spans(
     shared = scratch.write(shared.select("anchor"), "anchors")
     sent = spark.sparkContext.broadcast(Filter.of(shared, "anchor", shared.count()))
 
+    some = rows.where(F.pmod(F.xxhash64("_hash"), F.lit(sampled)) == 0).mapInArrow(measure, "text long, strings long")
+    rounds = rounds_for(*some.agg(F.coalesce(F.sum("text"), F.lit(0)), F.coalesce(F.sum("strings"), F.lit(0))).first(), rounds, share, sampled)
+
     def cut(mine: int, whole: bool, kind: str) -> DataFrame:
         strings = rows.mapInArrow(cutter(mine, whole), kind)
         return strings.join(shared, "anchor") if sent.value.full else strings

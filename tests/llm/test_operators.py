@@ -175,6 +175,27 @@ def test_substrings(spark, docs, empty, tmp_path, hot):
         assert substrings.dedup_substrings(empty).count() == 0
 
 
+def test_rounds_bound_the_strings_of_each(spark, monkeypatch):
+    """Where all anchors are shared, strings take several times the text: more rounds come, and none holds more than its share."""
+    write, sizes = substrings.Scratch.write, []
+
+    def spy(self, df, name):
+        found = write(self, df, name)
+        if name.startswith("distinct"):
+            sizes.append(found.selectExpr("coalesce(sum(octet_length(string) + 24), 0)").first()[0])
+        return found
+
+    monkeypatch.setattr(substrings.Scratch, "write", spy)
+    monkeypatch.setattr(substrings, "ENOUGH", 0, raising=False)
+    text = " ".join(str(k * k) for k in range(4000))
+    rows = [(i, text[i:] if i % 2 else text[: len(text) - i]) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans, _ = substrings.repeated_spans(docs, **{"sampled": 1} if hasattr(substrings, "rounds_for") else {})
+    assert [r["_id"] for r in spans.collect()] == [1]
+    assert len(sizes) >= 5 and max(sizes) <= 2 * len(text)
+    assert substrings.rounds_for(1 << 20, 1 << 19, 2, 0.9, 64) == 2 and substrings.rounds_for(10 << 20, 27 << 20, 2, 0.9, 64) == 3
+
+
 def test_cuts_keep_whole_characters(spark):
     rows = [(1, "é" * 40 + "x"), (2, "ab" + "é" * 40 + "ü"), (3, None)]
     cut = {r["doc_id"]: r["text"] for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
