@@ -38,7 +38,7 @@ FIRST = 7
 #: Windows are looked at in blocks of so many; a place in a block and its window fits 20 bits.
 BLOCK = 1 << 19
 #: Bytes of text from which a sample says how many rounds there are.
-ENOUGH = 1 << 26
+ENOUGH = 1 << 28
 #: Bits of one bitmap of Spark's bitmap functions.
 MAP_BITS = 1 << 15
 
@@ -121,7 +121,8 @@ def batch_runs(texts: pa.Array, min_len: int, strings: bool = True) -> Iterator[
 
 
 class Filter:
-    """A bit for each value of the leading bits of keys; says no only if no key has them.
+    """A bit for each value of the last bits of keys; says no only if no key has them. Anchors are smallest
+    hashes, so their leading bits are mostly zero and tell few of them apart.
 
     Its size grows with the number of keys up to 64 MB and stays there. It only spares work: strings that
     it lets through without need turn out to have no repeats, and once it is full an exact join follows.
@@ -135,14 +136,14 @@ class Filter:
         self.full = count << 3 > 1 << bits
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = keys.view(np.uint64) >> np.uint64(64 - self.bits)
+        at = keys.view(np.uint64) & np.uint64((1 << self.bits) - 1)
         return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
     @classmethod
     def of(cls, keys: DataFrame, column: str, count: int) -> Filter:
         """Set bits are gathered in bitmaps of 4 KB, map side first; the driver gets those, 64 MB in all at most."""
         bits = min(cls.MOST, max(16, count.bit_length() + 5))
-        at = F.shiftrightunsigned(F.col(column), 64 - bits)
+        at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
         rows = keys.select((at / MAP_BITS).cast("int").alias("part"), F.pmod(at, F.lit(MAP_BITS)).alias("bit"))
         data = np.zeros((1 << bits) // MAP_BITS * (MAP_BITS // 8), np.uint8).reshape(-1, MAP_BITS // 8)
         for r in rows.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("data")).toLocalIterator():

@@ -175,6 +175,14 @@ def test_substrings(spark, docs, empty, tmp_path, hot):
         assert substrings.dedup_substrings(empty).count() == 0
 
 
+def test_filter_tells_smallest_hashes_apart(spark):
+    """Anchors are minimums of some thirty hashes: nearly all begin with zeros."""
+    hashes = np.random.default_rng(5).integers(0, 1 << 64, (40_000, 31), np.uint64).min(axis=1).view(np.int64)
+    keys, others = hashes[:20_000], hashes[20_000:]
+    passes = substrings.Filter.of(spark.createDataFrame([(x,) for x in keys.tolist()], "anchor long"), "anchor", len(keys))
+    assert passes(keys).all() and passes(others).mean() < 0.05
+
+
 def test_rounds_bound_the_strings_of_each(spark, monkeypatch):
     """Where all anchors are shared, strings take several times the text: more rounds come, and none holds more than its share."""
     write, sizes = substrings.Scratch.write, []
