@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from quiverlake.functions.vectors import has_dimension, is_finite
 from quiverlake.sources.shared import shared_folder, shared_path
 
-from .search import RESULT, exact_scores, query_blocks
+from .search import PAIRS, RESULT, SLACK, near_scores, query_blocks
 
 NODES = "shard int, ord long, id string, values array<float>, level int, links array<array<long>>"
 
@@ -227,21 +227,36 @@ class ShardGraph:
             front = np.flatnonzero(ahead & ~seen)
         return seen
 
-    def whole(self, q: np.ndarray, starts: np.ndarray, count: int, cells: int = 1 << 17) -> np.ndarray:
+    def chained(self) -> bool:
+        """Whether each node links to its neighbours by order on the base layer: then all nodes are in reach of any."""
+        base, nodes = self.layers[0], np.arange(len(self.ids))[:, None]
+        return bool((base[:-1] == nodes[1:]).any(axis=1).all() and (base[1:] == nodes[:-1]).any(axis=1).all())
+
+    def whole(self, q: np.ndarray, q_sq: np.ndarray, starts: np.ndarray, count: int, cells: int = 1 << 20) -> np.ndarray:
         """The `count` best of what beam() finds on the base layer with a breadth of all nodes, in no order.
 
         With that breadth no node is ever pushed out, so a walk ends with every node in reach of its
         start, whatever the query: the links are followed once for each start, and all nodes in reach are
-        scored together. A block of `cells` scores stays in the processor's cache.
+        scored together, `cells` at a time. A matrix product says which can be among the best; these are
+        scored exactly.
         """
-        nodes, size = np.arange(len(self.ids)), len(self.ids)
-        step, best = max(1, cells // size), np.full((len(q), count), LOW)
+        step, best = max(1, cells // len(self.ids)), np.full((len(q), count), LOW)
         for start in np.unique(starts).tolist():
-            seen, rows = self.reach(start), np.flatnonzero(starts == start)
+            nodes, rows = np.flatnonzero(self.reach(start)), np.flatnonzero(starts == start)
+            v, v_sq, at = self.v[nodes], self.sq[nodes], max(0, len(nodes) - count)
             for first in range(0, len(rows), step):
                 mine = rows[first : first + step]
-                found = np.where(seen, self.ranked(exact_scores(q[mine], self.v), nodes), LOW)
-                best[mine] = np.partition(found, size - count, axis=1)[:, size - count :]
+                near = near_scores(v, v_sq, q[mine], q_sq[mine])
+                row, column = np.nonzero(~(near < np.partition(near, at, axis=1)[:, at, None] - 2 * SLACK))
+                found = np.empty(len(row), np.int64)
+                for k in range(0, len(row), PAIRS):
+                    asks = mine[row[k : k + PAIRS]]
+                    found[k : k + PAIRS] = self.numbers(q[asks], q_sq[asks], nodes[column[k : k + PAIRS]])
+                order = np.lexsort((-found, row))
+                row, found = row[order], found[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                top = rank < count
+                best[mine[row[top]], rank[top]] = found[top]
         return best
 
     def search(self, queries: np.ndarray, k: int, ef: int, cells: int = 1 << 22) -> Iterator[tuple[int, list[tuple[str, float]]]]:
@@ -249,13 +264,14 @@ class ShardGraph:
         count = min(k, len(self.ids))
         width = min(len(self.ids), max(count, ef))
         step = max(1, cells // max(len(self.ids), 1))
+        whole, chained = width == len(self.ids), count > 0 and self.chained()
         for first in range(0, len(queries) if count else 0, step):
             q = np.asarray(queries[first : first + step], np.float32).astype(np.float64)
             q_sq = np.add.accumulate(q * q, axis=1)[:, -1]
             at = np.full(len(q), self.entry)
-            for layer in range(self.top, 0, -1):
+            for layer in () if whole and chained else range(self.top, 0, -1):
                 at = self.node_of(self.beam(q, q_sq, at, 1, layer)[:, 0])
-            found = self.whole(q, at, count) if width == len(self.ids) else self.beam(q, q_sq, at, width, 0)
+            found = self.whole(q, q_sq, at, count) if whole else self.beam(q, q_sq, at, width, 0)
             best = np.sort(found, axis=1)[:, ::-1][:, :count]
             turned = best >> 32
             scores = np.where(turned < 0, turned ^ 0x7FFFFFFF, turned).astype(np.int32).view(np.float32)
@@ -310,7 +326,8 @@ def build_graph(vectors: DataFrame, config: HnswConfig, shards: int = 1, first:
         return rows.assign(level=graph.levels, links=graph.links())[["shard", "ord", "id", "values", "level", "links"]]
 
     rows = vectors.select((F.pmod("ord", F.lit(shards)) + first).cast("int").alias("shard"), F.col("ord").cast("long").alias("ord"), "id", "values")
-    return rows.groupBy("shard").applyInPandas(build, NODES)
+    # a partition for each shard; hashed, several shards would share a task
+    return rows.repartitionById(shards, "shard").groupBy("shard").applyInPandas(build, NODES)
 
 
 def walker(config: HnswConfig, ids: np.ndarray, block: np.ndarray, k: int, ef: int):
@@ -386,7 +403,7 @@ class HnswIndex:
         found = None
         for ids, block in query_blocks(queries, block_bytes) if k > 0 else ():
             walk = walker(config, ids, block, k, ef)
-            part = self.nodes.groupBy("shard").applyInPandas(walk, RESULT)
+            part = self.nodes.repartitionById(self.shards, "shard").groupBy("shard").applyInPandas(walk, RESULT)
             found = part if found is None else found.unionByName(part)
         if found is None:
             found = self.nodes.sparkSession.createDataFrame([], RESULT)

@@ -3,7 +3,7 @@
 | strategy    | scores                                                     | contract            |
 |-------------|------------------------------------------------------------|---------------------|
 | sql         | Catalyst expressions                                        | exact               |
-| arrow_exact | Arrow batches, one dimension after the other over all rows  | exact, the default  |
+| arrow_exact | Arrow batches; matrix products say which rows can be among the K, and sums in dimension order score those | exact, the default |
 | arrow       | Arrow batches, matrix products in doubles                   | within 1e-6         |
 | arrow_fp32  | Arrow batches, matrix products in 4-byte floats             | within 1e-5         |
 | arrow_naive_fp32 | as arrow_exact, with sums in 4-byte floats             | within 1e-5         |
@@ -115,25 +115,91 @@ def list_matrix(column: pa.Array) -> np.ndarray:
 
 #: Scores that a task works out at a time: rows of a block times queries.
 SCORES = 1 << 21
+#: More than a score by a matrix product in doubles is off: such sums of products of 4-byte floats are off by
+#: 1e-14 or so, and an exact score is rounded to 4 bytes, by 6e-8 at most.
+SLACK = 1e-6
+#: Pairs that are scored exactly at a time.
+PAIRS = 1 << 14
+
+
+def sq_norms(v: np.ndarray) -> np.ndarray:
+    """Squared norms, every sum in dimension order."""
+    return np.add.accumulate(v * v, axis=1)[:, -1]
+
+
+def near_scores(v: np.ndarray, v_sq: np.ndarray, q: np.ndarray, q_sq: np.ndarray) -> np.ndarray:
+    """Scores of all queries (rows of the result) against all of v, in doubles, within SLACK of the exact ones."""
+    n = np.maximum(q_sq[:, None] * v_sq[None, :], np.finfo(np.float64).tiny)  # with a zero vector the product is 0 as well
+    found = q @ v.T
+    found /= np.sqrt(n, out=n)
+    return found
+
+
+def pair_scores(v: np.ndarray, v_sq: np.ndarray, q: np.ndarray, q_sq: np.ndarray) -> np.ndarray:
+    """Scores of rows of v, each against its own row of q, every sum in dimension order."""
+    dots, n = np.add.accumulate(v * q, axis=1)[:, -1], v_sq * q_sq
+    return np.where(n == 0, 0.0, dots / np.sqrt(np.where(n == 0, 1.0, n))).astype(np.float32)
+
+
+class Kept:
+    """The K best rows of each query so far, by score and then id; until `trim`, also those that tie with the last."""
+
+    def __init__(self, count: int, k: int):
+        self.k, self.least, self.room = k, np.full(count, -np.inf, np.float32), 4 * count * k + (1 << 18)
+        self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, object)
+
+    def floor(self, near: np.ndarray) -> np.ndarray:
+        """What the K best of each query score at least, now or among the rows of near; near is off by SLACK at most."""
+        found = self.least.astype(np.float64) - SLACK
+        fresh = np.flatnonzero(np.isneginf(self.least))
+        if len(fresh) and near.shape[1] > self.k:
+            at = near.shape[1] - self.k
+            found[fresh] = np.partition(near[fresh], at, axis=1)[:, at] - 2 * SLACK
+        return found
+
+    def pick(self, order: np.ndarray) -> None:
+        self.query, self.score, self.id = self.query[order], self.score[order], self.id[order]
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        self.query, self.score, self.id = (np.concatenate(x) for x in ((self.query, query), (self.score, score), (self.id, ids)))
+        self.pick(np.lexsort((-self.score, self.query)))
+        last = np.arange(len(self.query)) - np.searchsorted(self.query, self.query) == self.k - 1
+        self.least[self.query[last]] = self.score[last]
+        self.pick(np.flatnonzero(~(self.score < self.least[self.query])))
+        if len(self.query) > self.room:
+            self.trim()
+
+    def trim(self) -> None:
+        """Leaves K rows a query, in order. Code points are in the order of their bytes."""
+        place = np.unique(self.id, return_inverse=True)[1] if len(self.id) else np.zeros(0, np.int64)
+        self.pick(np.lexsort((place, -self.score, self.query)))
+        self.pick(np.flatnonzero(np.arange(len(self.query)) - np.searchsorted(self.query, self.query) < self.k))
 
 
 def local_topk(ids: np.ndarray, queries: np.ndarray, k: int, strategy: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[list[float], list[str]]] = [([], []) for _ in ids]
-        rows = max(1, min(4096, SCORES // len(ids)))
+        kept, rows = Kept(len(ids), k), max(1, min(4096, SCORES // len(ids)))
+        q = queries.astype(np.float64)
+        q_sq = sq_norms(q)
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                names = part.column("id").to_pylist()
-                scores = score_block(strategy, list_matrix(part.column("values")), queries)
-                for j, (held, held_ids) in enumerate(kept):
-                    at = best_rows(scores[:, j], names, k)
-                    all_scores, all_ids = held + scores[at, j].tolist(), held_ids + [names[i] for i in at]
-                    best = best_rows(np.array(all_scores, np.float32), all_ids, k)
-                    kept[j] = ([all_scores[i] for i in best], [all_ids[i] for i in best])
-        number = [int(q) for q, (s, _) in zip(ids, kept, strict=True) for _ in s]
+                names, v = np.array(part.column("id").to_pylist(), object), list_matrix(part.column("values"))
+                if strategy != "arrow_exact":
+                    scores = score_block(strategy, v, queries).T
+                    query, row = np.nonzero(~(scores < kept.floor(scores)[:, None]))
+                    kept.add(query, scores[query, row], names[row])
+                    continue
+                v = v.astype(np.float64)
+                v_sq = sq_norms(v)
+                near = near_scores(v, v_sq, q, q_sq)
+                query, row = np.nonzero(~(near < kept.floor(near)[:, None]))
+                for at in range(0, len(row), PAIRS):
+                    i, j = row[at : at + PAIRS], query[at : at + PAIRS]
+                    kept.add(j, pair_scores(v[i], v_sq[i], q[j], q_sq[j]), names[i])
+        kept.trim()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(number, pa.int64()), pa.array([i for _, n in kept for i in n], pa.string()), pa.array([x for s, _ in kept for x in s], pa.float32())],
+            [pa.array(ids[kept.query], pa.int64()), pa.array(kept.id.tolist(), pa.string()), pa.array(kept.score, pa.float32())],
             ["query_id", "id", "score"],
         )
 

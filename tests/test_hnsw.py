@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quiverlake.operators import hnsw, metrics
@@ -161,3 +162,39 @@ def test_recall_and_audit(spark):
         index.set_ef_search(0)
     with pytest.raises(ValueError):
         hnsw.HnswIndex.from_dataframe(table(spark, [("a", (1, 2)), ("a", (2, 3))]), hnsw.HnswConfig(2))
+
+
+def test_searches_of_all_rows_score_few_pairs_one_by_one(monkeypatch):
+    """recall_full_breadth ran out of time on large tables, where all pairs were summed dimension by dimension."""
+    from quiverlake.operators import hnsw, search
+
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(3000, 16)).astype(np.float32)
+    data[100:160], data[7] = data[100], 0  # a group of copies, and a zero vector
+    queries = np.concatenate([data[::50], data[[7, 100]]])
+    ids = [str(i * 37 % 3000) for i in range(3000)]
+    graph = hnsw.ShardGraph.build(ids, data, hnsw.HnswConfig(16), 42)
+    pairs = 0
+
+    def counted(f, at):
+        def run(*args):
+            nonlocal pairs
+            pairs += len(args[at])
+            return f(*args)
+
+        return run
+
+    monkeypatch.setattr(search, "pair_scores", counted(search.pair_scores, 0))
+    monkeypatch.setattr(hnsw.ShardGraph, "numbers", counted(hnsw.ShardGraph.numbers, 3))
+    exact = search.exact_scores(data, queries)
+    truth = {j: [(ids[i], float(exact[i, j])) for i in search.best_rows(exact[:, j], ids, 10)] for j in range(len(queries))}
+    assert dict(graph.search(queries, 10, 1 << 30)) == truth
+    rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(data), pa.list_(pa.float32()))], ["id", "values"])
+    for kind in ("arrow_exact", "arrow"):
+        (found,) = search.local_topk(np.arange(len(queries)), queries, 10, kind)(iter([rows.slice(0, 1700), rows.slice(1700)]))
+        got = {j: [] for j in range(len(queries))}
+        for r in found.to_pylist():
+            got[r["query_id"]].append((r["id"], r["score"]))
+        assert kind == "arrow" or got == truth
+        assert all(np.allclose([x for _, x in got[j]], [x for _, x in truth[j]], atol=1e-6) for j in truth)
+    assert pairs < len(queries) * len(data) / 10
