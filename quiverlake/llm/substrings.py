@@ -35,8 +35,11 @@ ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 ANCHOR = 20
 #: Symbols that the first sort of suffixes compares; nine bits each fit a 64-bit number.
 FIRST = 7
-#: Windows are looked at in blocks of so many; a place in a block and its window fits 20 bits.
-BLOCK = 1 << 19
+#: Windows are looked at in blocks of so many, whose arrays stay in the processor's cache; a place in a block and its
+#: window fits 20 bits. The runs of so many blocks come together.
+BLOCK, BLOCKS = 1 << 16, 32
+#: Bits of anchors by which they are dealt out to be counted: 1,024 groups.
+GROUP_BITS = 10
 #: Bytes of text from which a sample says how many rounds there are.
 ENOUGH = 1 << 28
 #: Bits of one bitmap of Spark's bitmap functions.
@@ -79,7 +82,7 @@ def smallest_ahead(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """Runs of neighbouring windows that have their anchor in one place: all in one block of a column.
+    """Runs of neighbouring windows that have their anchor in one place: all in one block of a column, or `joined` those of several.
 
     key is the anchor's hash, doc the row; start and end bound the windows' first bytes in the text, and
     first says where the text's bytes begin in the column. sid is a 64-bit hash of the run's string: the
@@ -110,14 +113,64 @@ class Runs:
         whole = sums[ends + min_len - 1 - ANCHOR] - sums[starts]
         self.sid = mixed(whole * ODD[2] + h[starts] + (ends - starts).astype(np.uint64) * ODD[3]).view(np.int64)
 
+    @classmethod
+    def joined(cls, parts: list[Runs]) -> Runs:
+        found = cls.__new__(cls)
+        for name in vars(parts[0]):
+            setattr(found, name, np.concatenate([getattr(x, name) for x in parts]))
+        return found
+
 
 def batch_runs(texts: pa.Array, min_len: int, strings: bool = True) -> Iterator[Runs]:
-    """Runs of a column, block by block; blocks may cut a long text, and then a run. sid only if strings are asked for."""
+    """Runs of a column, some blocks at a time; blocks may cut a text, and then a run. sid only if strings are asked for."""
     data, bounds = binary_view(texts)
-    for first in range(0, len(data) - min_len + 1, BLOCK):
-        runs = Runs(data, bounds, first, min(first + BLOCK, len(data) - min_len + 1), min_len, strings)
+    held, windows = [], len(data) - min_len + 1
+    for first in range(0, windows, BLOCK):
+        runs = Runs(data, bounds, first, min(first + BLOCK, windows), min_len, strings)
         if len(runs.key):
-            yield runs
+            held.append(runs)
+        if held and (len(held) == BLOCKS or first + BLOCK >= windows):
+            yield Runs.joined(held)
+            held = []
+
+
+def numbers_in(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Binary values that hold the numbers between neighbouring bounds."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+GROUPED = "part int, anchors binary, low binary, high binary, width binary"
+
+
+def grouped_anchors(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Anchors with their smallest and largest document, a row for each group: the anchors, turned so that the
+    group's bits lead, in order, and the smallest document in two halves and how far the largest is from it,
+    as most bytes of those are zero. So many numbers as rows of their own would cost more than to find them."""
+    turned = key.view(np.uint64) >> np.uint64(GROUP_BITS) | key.view(np.uint64) << np.uint64(64 - GROUP_BITS)
+    order = np.argsort(turned)
+    turned, own = turned[order], ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], turned[1:] != turned[:-1]]))
+    turned, low, high = turned[starts], np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts)
+    part = (turned >> np.uint64(64 - GROUP_BITS)).astype(np.int32)
+    begins = np.flatnonzero(np.diff(part, prepend=-1))
+    bounds = np.append(begins, len(part))
+    halves = low.view(np.uint32).reshape(-1, 2)
+    columns = [numbers_in(bounds, x) for x in (turned, halves[:, 0], halves[:, 1], high - low)]
+    return pa.RecordBatch.from_arrays([pa.array(part[begins]), *columns], ["part", "anchors", "low", "high", "width"])
+
+
+def shared_anchors(table: pa.Table) -> pa.Table:
+    """The anchors of one group that stand in two documents or more."""
+    turned, low, high, width = (
+        np.frombuffer(b"".join(table.column(name).to_pylist()), kind) for name, kind in (("anchors", np.uint64), ("low", np.uint32), ("high", np.uint32), ("width", np.int64))
+    )
+    low = np.column_stack([low, high]).view(np.int64)[:, 0]
+    order = np.argsort(turned)
+    turned, low, high = turned[order], low[order], (low + width)[order]
+    starts = np.flatnonzero(np.concatenate([[True], turned[1:] != turned[:-1]]))
+    several = np.minimum.reduceat(low, starts) < np.maximum.reduceat(high, starts)
+    turned = turned[starts[several]]
+    return pa.table([(turned << np.uint64(GROUP_BITS) | turned >> np.uint64(64 - GROUP_BITS)).view(np.int64)], ["anchor"])
 
 
 class Filter:
@@ -311,11 +364,7 @@ def repeated_spans(
         for batch in slices(batches, "bytes", 2 << 20):
             ids = batch.column("_id").to_numpy(zero_copy_only=False)
             for runs in batch_runs(batch.column("bytes"), min_len, strings=False):
-                order = np.argsort(runs.key)
-                key, own = runs.key[order], ids[runs.doc[order]]
-                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                columns = (key[starts], np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts))
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["anchor", "lo", "hi"])
+                yield grouped_anchors(runs.key, ids[runs.doc])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = sent.value
@@ -371,8 +420,8 @@ def repeated_spans(
             found.append((anchor[a:b][owner], sid[a:b][owner], *run))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["anchor", "sid", "a", "b", "least"])
 
-    shared = rows.mapInArrow(anchors, "anchor long, lo long, hi long").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    shared = scratch.write(shared.select("anchor"), "anchors")
+    shared = rows.mapInArrow(anchors, GROUPED).groupBy("part").applyInArrow(shared_anchors, "anchor long")
+    shared = scratch.write(shared, "anchors")
     sent = spark.sparkContext.broadcast(Filter.of(shared, "anchor", shared.count()))
 
     some = rows.where(F.pmod(F.xxhash64("_hash"), F.lit(sampled)) == 0).mapInArrow(measure, "text long, strings long")

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -293,6 +294,23 @@ def model_of(spark, texts, **options):
     return perplexity.fit(rows, top, Scratch(spark, "t"), **options), top, counts
 
 
+def test_anchors_are_counted_a_group_at_a_time():
+    """op3 went beyond its processor time where every anchor of every text was a row of its own."""
+    rng = np.random.default_rng(8)
+    low, high = -(1 << 63), (1 << 63) - 1
+    pool = rng.integers(low, high, 3000)
+    key = np.concatenate([rng.choice(pool, 6000), rng.integers(low, high, 20000)])
+    ids = rng.choice(np.array([low, -1, 0, 1, 1 << 40, substrings.LAST]), len(key))
+    found = {}
+    for k, i in zip(key.tolist(), ids.tolist(), strict=True):
+        found.setdefault(k, set()).add(i)
+    parts = [substrings.grouped_anchors(key[a::3], ids[a::3]) for a in range(3)]
+    assert all(p.num_rows <= 1 << substrings.GROUP_BITS for p in parts)
+    table = pa.Table.from_batches(parts)
+    shared = [substrings.shared_anchors(table.filter(pc.equal(table.column("part"), x))).column("anchor").to_pylist() for x in set(table.column("part").to_pylist())]
+    assert sorted(k for x in shared for k in x) == sorted(k for k, x in found.items() if len(x) > 1)
+
+
 def test_model_probabilities_sum_to_one_in_every_context(spark):
     model, top, counts = model_of(spark, [PASSAGE + " the the fox " * 5, "the lazy dog " * 9, "unseen"], burn_in=1, samples=2)
     found = {bytes(r["word"]): r for r in model.words.collect()}
