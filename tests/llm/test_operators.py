@@ -334,6 +334,27 @@ def test_scores_know_the_word_before_and_not_the_partition(spark):
     assert one[1000] > one[1001] + 1 and one[1002] != one[1003]
 
 
+def test_every_word_is_a_context_of_its_own(spark):
+    """Words beyond the 255 most frequent shared one restaurant as contexts."""
+    rng = np.random.default_rng(6)
+    learned, held = ([i for i in range(20000) if (zlib.crc32(str(i).encode()) % 10 == 0) == x] for x in (False, True))
+    texts = [" ".join(f"a{i} b{i}" for i in rng.permutation(300)) for _ in range(12)]
+    right, wrong = ({held[2 * i + k]: f"a{i} b{(i + k) % 300}" for i in range(300)} for k in (0, 1))
+    docs = spark.createDataFrame([*zip(learned, texts), *right.items(), *wrong.items()], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in perplexity.score_documents(docs).collect()}
+    assert all(score[a] > score[b] + 1 for a, b in zip(right, wrong, strict=True))
+    model, top, _ = model_of(spark, texts)
+    numbered = {w.decode() for w in top[: perplexity.CONTEXT_WORDS - 1]}
+    counts = Counter(p for t in texts for p in zip([""] + t.split(), [*t.split(), ""]))
+    found = {}
+    for r in model.rare.collect():
+        contexts, words = (r[x].split(b" ") for x in ("contexts", "words"))
+        context, word, c, t = (np.frombuffer(r[x], k) for x, k in (("context", "<u4"), ("word", "<u4"), ("customers", "<i4"), ("samples", "<i4")))
+        found |= {(contexts[a].decode(), words[b].decode()): n for a, b, n in zip(context, word, c, strict=True)}
+        assert all(((x >= 1) & (x <= c)).all() for x in t.reshape(2, -1))
+    assert found == {p: n for p, n in counts.items() if p[0] not in numbered} and len(found) > 300
+
+
 def test_rare_words_go_through_postings(spark, monkeypatch):
     """Words beyond the frequent ones give the same scores by the join, with more than 255 of one in a text."""
     rows = [(i, f"{PASSAGE} w{i} " + "na " * (300 * (i == 3))) for i in range(12)]
