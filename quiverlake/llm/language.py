@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import read_table, slices, small_batches
 
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -137,6 +137,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     Whole texts are encoded. Null text, text without a letter, or a model of no language gives `und`,
     score 0, rejected. One pass, no shuffle.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = ("lang_pred", "lang_score", "lang_rejected")
     docs = docs.drop(*added)
@@ -144,7 +145,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in slices(batches, text_col, 1 << 20):
             found = [model.predict(t) for t in batch.column(at).to_pylist()]
             new = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])

@@ -513,10 +513,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spans, _ = repeated_spans(docs, id_col, text_col, min_len, **options)
     names, at = docs.columns, docs.columns.index(text_col)
+    others = F.struct(*(F.col("_row").getField(c).alias(c) for c in names if c != text_col))  # the text goes along once
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "bytes", 2 << 20):
-            data, bounds = binary_view(batch.column("bytes"))
+        for batch in slices(batches, "_text", 2 << 20):
+            own = batch.column("_text")
+            data, bounds = binary_view(pc.fill_null(own, "").cast(pa.binary()))
             gone = removed(bounds, batch.column("_spans"))
             if len(data):
                 begins = np.flatnonzero((data & 0xC0) != 0x80)
@@ -524,11 +526,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             left, ends = kept_bytes(data, bounds, gone)
             columns = batch.column("_row").flatten()
             text = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(left)])
-            columns[at] = pc.if_else(columns[at].is_null(), pa.scalar(None, pa.string()), text)
+            columns.insert(at, pc.if_else(own.is_null(), pa.scalar(None, pa.string()), text))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = keyed(docs, id_col, text_col).join(spans, ["_id", "_hash"], "left")
-    return joined.select("_row", F.coalesce("_text", F.lit("")).cast("binary").alias("bytes"), "_spans").mapInArrow(cut, docs.schema)
+    rows = keyed(docs, id_col, text_col).select(others.alias("_row"), "_id", "_hash", "_text")
+    return rows.join(spans, ["_id", "_hash"], "left").select("_row", "_text", "_spans").mapInArrow(cut, docs.schema)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
